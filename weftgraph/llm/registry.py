@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import simhash
+from weftgraph.llm import mixing, simhash, superkmer
 
-QUERIES = {"op4_simhash": simhash.op4_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
+    "op5_mixing": mixing.op5_mixing,
+    "op10_superkmer": superkmer.op10_superkmer,
+}
+ORACLES: dict[str, str] = {"op10_superkmer": superkmer.ORACLE}
