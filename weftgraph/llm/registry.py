@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import mixing, simhash, superkmer
+from weftgraph.llm import mixing, simhash, subword, superkmer, template
 
 QUERIES = {
+    "op1_subword": subword.op1_subword,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
+    "op8_template": template.op8_template,
     "op10_superkmer": superkmer.op10_superkmer,
 }
 ORACLES: dict[str, str] = {"op10_superkmer": superkmer.ORACLE}

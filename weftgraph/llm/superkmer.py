@@ -280,10 +280,10 @@ def tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), text, F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("tag"))
 
 
-def kept_words(text: bytes, ranges: list | None) -> tuple[list[bytes], int]:
+def kept_words(text: bytes, ranges) -> tuple[list[bytes], int]:
     """The words outside the ranges, and the number of all words."""
     words = text.split()
-    if not ranges:
+    if ranges is None or not len(ranges):
         return words, len(words)
     stay = np.ones(len(words), bool)
     for r in ranges:
