@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and written to the shared checkpoint folder, so that a lost
-    executor costs no recomputation of what came before. The folder is the cluster's
-    ``spark.checkpoint.dir``; a temporary one is made only where that is unset, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's ``spark.checkpoint.dir``. A temporary
+    one is made only where that is unset, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoint-")
         )
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written to the shared folder, so that a lost executor costs no
+    recomputation of what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
