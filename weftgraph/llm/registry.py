@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import mixing, simhash, subword, superkmer, template
+from weftgraph.llm import mixing, ngram, simhash, subword, superkmer, template
 
 QUERIES = {
     "op1_subword": subword.op1_subword,
+    "op2_ngram": ngram.op2_ngram,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op8_template": template.op8_template,
