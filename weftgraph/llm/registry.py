@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import mixing, ngram, simhash, subword, superkmer, template
+from weftgraph.llm import media, mixing, ngram, simhash, subword, superkmer, template
 
 QUERIES = {
     "op1_subword": subword.op1_subword,
     "op2_ngram": ngram.op2_ngram,
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
+    "op6_media": media.op6_media,
     "op8_template": template.op8_template,
     "op10_superkmer": superkmer.op10_superkmer,
 }
