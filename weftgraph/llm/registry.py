@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import media, mixing, ngram, simhash, subword, superkmer, template
+from weftgraph.llm import crf, media, mixing, ngram, simhash, subword, superkmer, template
 
 QUERIES = {
     "op1_subword": subword.op1_subword,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_media": media.op6_media,
+    "op7_crf": crf.op7_crf,
     "op8_template": template.op8_template,
     "op10_superkmer": superkmer.op10_superkmer,
 }

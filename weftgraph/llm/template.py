@@ -17,7 +17,6 @@ arise: all items that contaminate a document are reported. Empty tables give an
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import arrow_map, chunks, cut, table, utf8
-from weftgraph.llm.vectext import Words, rolling, spans
+from weftgraph.llm.vectext import Words, rolling, spans, stripped
 
 # Words that stand for numbers, for units, and that often begin a sentence.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
@@ -37,10 +36,6 @@ UNITS = (
 )
 STARTERS = "a an the if in on at of to for and or but when while how what which who why where is are was were there this that these those it he she they we i you"
 
-PUNCT = np.zeros(256, bool)
-PUNCT[list(string.punctuation.encode())] = True
-
-
 def _hashes(words: str) -> np.ndarray:
     return np.unique(Words([words.encode()]).hash)
 
@@ -56,13 +51,7 @@ class Template:
         words = Words(texts, hashed=False)
         data = np.frombuffer(words.text, np.uint8)
         n = len(data)
-        solid = ~PUNCT[data]
-        place = np.arange(n)
-        # The first and last bytes of each word that are not punctuation.
-        after = np.append(np.minimum.accumulate(np.where(solid, place, n)[::-1])[::-1], n)
-        before = np.maximum.accumulate(np.where(solid, place, -1)) if n else place
-        start = np.minimum(after[words.start], words.end)
-        end = np.maximum(before[words.end - 1] + 1, start)
+        start, end = stripped(data, words.start, words.end)
         owner = words.owner()
         full = end > start
         start, end, owner = start[full], end[full], owner[full]

@@ -7,6 +7,8 @@ Texts are joined into one byte array, and a word's hash is the difference of two
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
@@ -56,6 +58,22 @@ class Words:
         if hashed:
             self.hash = spans(data, self.start, self.end)
 
+    @classmethod
+    def normal(cls, text: bytes) -> Words:
+        """Of one byte string that is joined already: texts by line feeds, words by spaces, no
+        text and no word empty."""
+        self = cls.__new__(cls)
+        self.text = text
+        data = np.frombuffer(text, np.uint8)
+        line = data == 10
+        gaps = np.flatnonzero((data == 32) | line)
+        self.start, self.end = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(data)]))
+        last = np.concatenate((np.flatnonzero(line[gaps]), [len(gaps)]))
+        self.count = np.diff(np.concatenate(([-1], last)))
+        self.first = np.cumsum(self.count) - self.count
+        self.hash = spans(data, self.start, self.end)
+        return self
+
     def __len__(self) -> int:
         return len(self.start)
 
@@ -73,6 +91,21 @@ def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(h + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
 
 
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[list(string.punctuation.encode())] = True
+
+
+def stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without the ASCII punctuation at their ends; empty ones where nothing else is."""
+    n = len(data)
+    solid = ~PUNCTUATION[data]
+    place = np.arange(n)
+    after = np.append(np.minimum.accumulate(np.where(solid, place, n)[::-1])[::-1], n)
+    before = np.maximum.accumulate(np.where(solid, place, -1)) if n else place
+    start = np.minimum(after[start], end)
+    return start, np.maximum(before[end - 1] + 1, start) if n else end
+
+
 def rolling(h: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Hash of each ``width`` consecutive values of ``h`` (it runs across texts)."""
     n = len(h) - width + 1
