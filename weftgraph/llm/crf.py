@@ -167,14 +167,17 @@ def train(docs: list[tuple[np.ndarray, int]], rounds: int = 30, rate: float = 0.
     seen = np.array([tag.sum(), tag[~inner].sum(), (~then & now).sum(), (then & ~now).sum(), (then & now).sum()], float)
     used = [np.unique(row, return_inverse=True) for row in at]
     hits = [np.bincount(k, tag, len(u)) for u, k in used]
+    # Rare features without a toxic token say nothing that the bias doesn't; they keep weight 0.
+    often = [(hit > 0) | (np.bincount(k, minlength=len(u)) >= 5) for (u, k), hit in zip(used, hits, strict=True)]
+    field.rest[0] = np.log((tag.sum() + 1) / (len(tag) + 1)) - 2
     squares = [np.full(len(u), 1e-8) for u, _ in used]
     square = np.full(5, 1e-8)
     for _ in range(rounds):
         e, first = field.emissions(at, count)
         r, b = messages(e, first, field.rest)
         p = r * b / (1 + r * b)
-        for (u, k), squared, w, hit in zip(used, squares, field.weights, hits, strict=True):
-            g = hit - np.bincount(k, p, len(u)) - ridge * w[u]
+        for (u, k), squared, w, hit, some in zip(used, squares, field.weights, hits, often, strict=True):
+            g = (hit - np.bincount(k, p, len(u))) * some - ridge * w[u]
             squared += g * g
             w[u] += rate * g / np.sqrt(squared)
         _, t01, t10, t11 = np.exp(field.rest[1:])
