@@ -57,7 +57,7 @@ def super_kmers(words: Words, width: int, mer: int) -> tuple[np.ndarray, np.ndar
 
 def _pack(*parts: bytes) -> bytes:
     head = np.array([len(p) for p in parts], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
 
 def _unpack(blob: bytes, n: int) -> list[bytes]:
@@ -88,57 +88,59 @@ def _rows(data: bytes, dtype: np.dtype) -> np.ndarray:
 def _send(width: int, mer: int, buckets: int, inline: int, most: int):
     """Map side: ``(bucket, kind, digest, blob)``."""
 
-    def flush(held: dict) -> Iterator[dict]:
-        groups: dict[int, list] = {}
-        heavy = []
-        for text, (bucket, places) in held.items():
-            places = np.array(places, PLACE)
-            if len(places) > inline:
-                heavy.append((hashlib.blake2b(text, digest_size=16).digest(), places))
-                groups.setdefault(bucket, []).append((text, places["doc"].min(), places[:0]))
-            else:
-                groups.setdefault(bucket, []).append((text, places["doc"].min(), places))
+    def flush(held: dict[bytes, int], seen: list[tuple]) -> Iterator[dict]:
+        if not seen:
+            return
+        texts = list(held)
+        index, bucket = np.concatenate([x[0] for x in seen]), np.concatenate([x[2] for x in seen])
+        places = np.concatenate([x[1] for x in seen])
+        order = np.argsort(index, kind="stable")
+        places, begin = places[order], np.searchsorted(index[order], np.arange(len(texts) + 1))
+        of, size = bucket[order][begin[:-1]], np.diff(begin)
+        least = np.minimum.reduceat(places["doc"], begin[:-1])
         out = []
-        for bucket, rows in groups.items():
-            texts, least, places = zip(*rows, strict=True)
-            out.append(
-                (bucket, LIGHT, None, _pack(b"\n".join(texts), np.array(least, "<i8").tobytes(), np.array([len(p) for p in places], "<i4").tobytes(), _columns(np.concatenate(places))))
-            )
-        for digest, places in heavy:
+        by = np.argsort(of, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(of[by]) != 0, [True])))
+        here = np.where(size > inline, 0, size)
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = by[x:y]
+            n = here[rows]
+            at = np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            packed = _pack(b"\n".join([texts[i] for i in rows.tolist()]), least[rows].astype("<i8").tobytes(), n.astype("<i4").tobytes(), _columns(places[at]))
+            out.append((int(of[rows[0]]), LIGHT, None, packed))
+        for i in np.flatnonzero(size > inline).tolist():
+            digest = hashlib.blake2b(texts[i], digest_size=16).digest()
             # Any bucket will do: these only pass through.
-            for at in range(0, len(places), 4096):
-                out.append((int.from_bytes(digest[:4], "little") + at + int(places["doc"][0]) & 0x7FFFFFFF, PLACES, digest, _pack(_columns(places[at : at + 4096]))))
+            for at in range(begin[i], begin[i + 1], 4096):
+                some = places[at : min(at + 4096, begin[i + 1])]
+                out.append(((int.from_bytes(digest[:4], "little") + int(some["doc"][0])) % buckets, PLACES, digest, _pack(_columns(some))))
         for at in range(0, len(out), 512):
             b, k, d, x = zip(*out[at : at + 512], strict=True)
-            yield {"bucket": [v % buckets for v in b], "kind": list(k), "digest": list(d), "blob": list(x)}
+            yield {"bucket": list(b), "kind": list(k), "digest": list(d), "blob": list(x)}
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        held: dict[bytes, tuple[int, list]] = {}
+        held: dict[bytes, int] = {}
+        seen: list[tuple] = []
         size = 0
         for batch in batches:
-            ids, tags, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ids, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a, b in chunks(texts):
                 words = Words(texts[a:b])
                 first, windows, value = super_kmers(words, width, mer)
                 if not len(first):
                     continue
                 owner = words.owner()[first]
-                word = first - words.first[owner]
-                text, start, end = words.text, words.start[first].tolist(), words.end[first + windows + width - 2].tolist()
-                bucket = (mix(value) % np.uint64(buckets)).tolist()
-                for s, e, k, o, w in zip(start, end, bucket, owner.tolist(), word.tolist(), strict=True):
-                    key, place = text[s:e], (ids[a + o], tags[a + o], w)
-                    got = held.get(key)
-                    if got is None:
-                        held[key] = (k, [place])
-                        size += e - s + 150
-                    else:
-                        got[1].append(place)
-                        size += 60
+                place = np.zeros(len(first), PLACE)
+                place["doc"], place["tag"], place["word"] = ids[a + owner], tags[a + owner], first - words.first[owner]
+                text, number, before = words.text, held.setdefault, len(held)
+                spans_ = zip(words.start[first].tolist(), words.end[first + windows + width - 2].tolist(), strict=True)
+                index = np.array([number(text[s:e], len(held)) for s, e in spans_])
+                seen.append((index, place, (mix(value) % np.uint64(buckets)).astype(np.int32)))
+                size += 30 * len(first) + (len(held) - before) * (150 + len(text) * 3 // len(first))
                 if size > most:
-                    yield from flush(held)
-                    held, size = {}, 0
-        yield from flush(held)
+                    yield from flush(held, seen)
+                    held, seen, size = {}, [], 0
+        yield from flush(held, seen)
 
     return kernel
 
@@ -189,12 +191,13 @@ def _count(width: int, inline: int):
         texts, own, sizes, places = [], [], [], []
         for blob in blobs:
             t, o, s, p = _unpack(blob, 4)
-            texts += t.split(b"\n")
+            texts.append(t)
             own.append(np.frombuffer(o, "<i8"))
             sizes.append(np.frombuffer(s, "<i4"))
             places.append(_rows(p, PLACE))
         own, sizes, places = np.concatenate(own), np.concatenate(sizes), np.concatenate(places)
-        words = Words(texts)
+        words = Words.normal(b"\n".join(texts))
+        texts = words.text.split(b"\n")
         string, least, shared = least_docs(words, own, width)
         begin = np.searchsorted(string, np.arange(len(texts) + 1))
         ends = np.cumsum(sizes)
@@ -264,9 +267,9 @@ RANGES = "id long, tag int, start int, end int"
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, mer: int = 2, inline: int = 16) -> DataFrame:
     """``(id, tag, start, end)``: word ranges of a document, which may overlap, covered by windows
     that also start in a document with a smaller id. ``tag``: see :func:`tagged`."""
-    buckets = max(1024, 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(512, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = tagged(docs, key, text).filter("id IS NOT NULL").select("id", "tag", utf8(text).alias("text"))
-    sent = arrow_map(rows, _send(width, mer, buckets, inline, 24 << 20), "bucket int, kind int, digest binary, blob binary")
+    sent = arrow_map(rows, _send(width, mer, buckets, inline, 64 << 20), "bucket int, kind int, digest binary, blob binary")
     placed = sent.repartition("bucket").sortWithinPartitions("bucket")
     counted = cut(arrow_map(placed, _count(width, inline), "kind int, digest binary, blob binary"))
     light = arrow_map(counted.filter(f"kind = {LIGHT}").select("blob"), _ranges, RANGES)
