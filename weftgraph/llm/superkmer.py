@@ -108,15 +108,24 @@ def _send(width: int, mer: int, buckets: int, inline: int, most: int):
             at = np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
             packed = _pack(b"\n".join([texts[i] for i in rows.tolist()]), least[rows].astype("<i8").tobytes(), n.astype("<i4").tobytes(), _columns(places[at]))
             out.append((int(of[rows[0]]), LIGHT, None, packed))
+            if len(out) == 64:
+                yield rows_(out)
+                out = []
         for i in np.flatnonzero(size > inline).tolist():
             digest = hashlib.blake2b(texts[i], digest_size=16).digest()
             # Any bucket will do: these only pass through.
             for at in range(begin[i], begin[i + 1], 4096):
                 some = places[at : min(at + 4096, begin[i + 1])]
                 out.append(((int.from_bytes(digest[:4], "little") + int(some["doc"][0])) % buckets, PLACES, digest, _pack(_columns(some))))
-        for at in range(0, len(out), 512):
-            b, k, d, x = zip(*out[at : at + 512], strict=True)
-            yield {"bucket": list(b), "kind": list(k), "digest": list(d), "blob": list(x)}
+            if len(out) >= 64:
+                yield rows_(out)
+                out = []
+        if out:
+            yield rows_(out)
+
+    def rows_(out: list[tuple]) -> dict:
+        b, k, d, x = zip(*out, strict=True)
+        return {"bucket": list(b), "kind": list(k), "digest": list(d), "blob": list(x)}
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         held: dict[bytes, int] = {}
@@ -269,7 +278,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     that also start in a document with a smaller id. ``tag``: see :func:`tagged`."""
     buckets = max(512, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = tagged(docs, key, text).filter("id IS NOT NULL").select("id", "tag", utf8(text).alias("text"))
-    sent = arrow_map(rows, _send(width, mer, buckets, inline, 64 << 20), "bucket int, kind int, digest binary, blob binary")
+    sent = arrow_map(rows, _send(width, mer, buckets, inline, 32 << 20), "bucket int, kind int, digest binary, blob binary")
     placed = sent.repartition("bucket").sortWithinPartitions("bucket")
     counted = cut(arrow_map(placed, _count(width, inline), "kind int, digest binary, blob binary"))
     light = arrow_map(counted.filter(f"kind = {LIGHT}").select("blob"), _ranges, RANGES)
