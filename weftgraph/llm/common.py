@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.lineage import cut
 
-__all__ = ["arrow_map", "chunks", "cut", "remainder", "table", "utf8"]
+__all__ = ["arrow_map", "chunks", "cut", "remainder", "slices", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches of the same rows, for kernels that copy what they get."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def arrow_map(
     df: DataFrame, kernel: Callable[[Iterable[pa.RecordBatch]], Iterable[dict]], schema: str
 ) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, chunks, cut, table, utf8
+from weftgraph.llm.common import arrow_map, chunks, cut, slices, table, utf8
 from weftgraph.llm.vectext import Words, mix, rolling, sliding_min
 
 LIGHT, PLACES, ANSWER = 0, 1, 2
@@ -131,7 +131,7 @@ def _send(width: int, mer: int, buckets: int, inline: int, most: int):
         held: dict[bytes, int] = {}
         seen: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, tags, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a, b in chunks(texts):
                 words = Words(texts[a:b])
@@ -278,7 +278,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     that also start in a document with a smaller id. ``tag``: see :func:`tagged`."""
     buckets = max(512, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = tagged(docs, key, text).filter("id IS NOT NULL").select("id", "tag", utf8(text).alias("text"))
-    sent = arrow_map(rows, _send(width, mer, buckets, inline, 32 << 20), "bucket int, kind int, digest binary, blob binary")
+    sent = arrow_map(rows, _send(width, mer, buckets, inline, 16 << 20), "bucket int, kind int, digest binary, blob binary")
     placed = sent.repartition("bucket").sortWithinPartitions("bucket")
     counted = cut(arrow_map(placed, _count(width, inline), "kind int, digest binary, blob binary"))
     light = arrow_map(counted.filter(f"kind = {LIGHT}").select("blob"), _ranges, RANGES)
