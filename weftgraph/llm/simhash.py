@@ -203,23 +203,30 @@ def links(distinct: DataFrame, distance: int = 3, blocks: int = 5, limit: int =
         met = cut(_meet(rows.withColumn("part", F.col("mask").bitwiseAND(F.col("fp"))), distance, limit))
         new = met.filter("b IS NOT NULL").select("a", "b")
         found = new if found is None else found.unionByName(new)
-        over = met.filter("b IS NULL")
-        masks = [r[0] for r in over.select("mask").distinct().collect()]  # as many as there are masks
-        if not masks:
+        over = met.filter("b IS NULL").select("mask", F.col("a").alias("fp"))
+        if not over.limit(1).count():
             return found
-        finer = []
-        for m in masks:
-            free = ~m & ((1 << 64) - 1)
-            longer = [(m | x) for x in block_masks(free, 8 if free.bit_count() > 24 else free.bit_count(), distance)]
-            finer.append(
-                over.filter(F.col("mask") == m).select(
-                    F.col("a").alias("fp"), F.explode(F.array(*[F.lit(signed(x & ((1 << 64) - 1))).cast("long") for x in longer])).alias("mask")
-                )
-            )
-        rows = finer[0]
-        for x in finer[1:]:
-            rows = rows.unionByName(x)
-        rows = rows.distinct()
+        rows = arrow_map(over, _longer(distance), "mask long, fp long").distinct()
+
+
+def _longer(distance: int):
+    """For rows of a group that was too large: the same fingerprints under longer masks."""
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        longer: dict[int, np.ndarray] = {}
+        for batch in batches:
+            mask, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for m in np.unique(mask).tolist():
+                if m not in longer:
+                    free = ~m & ((1 << 64) - 1)
+                    blocks = 8 if free.bit_count() > 24 else free.bit_count()
+                    longer[m] = np.array([(m | x) & ((1 << 64) - 1) for x in block_masks(free, blocks, distance)], np.uint64).view(np.int64)
+                some = fp[mask == m]
+                for at in range(0, len(some), 256):
+                    part = some[at : at + 256]
+                    yield {"mask": np.tile(longer[m], len(part)), "fp": np.repeat(part, len(longer[m]))}
+
+    return kernel
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3) -> DataFrame:

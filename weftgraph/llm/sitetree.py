@@ -14,7 +14,8 @@ says about a branch is a prior: navigation, footers, asides, forms, scripts and
 classes or ids that name adverts, comments, banners etc. have importance 0; ``article`` and
 ``main`` and what is in them have 1, so that copies of an article on one host are not taken for
 boilerplate. Branches that are under ``least`` throughout are removed from each page; where a page marks its article,
-what lies beside it is removed too.
+what lies beside it is removed too. Where nothing would be left of a page without such marks, as of
+copies of one page on a host of its own, only what the prior rules out is removed.
 
 Plan: pages are parsed where they lie and give (host, path, feature) counts, merged per batch and
 then by Spark, so a hot host is no large group; entropies are sums over those; a host's paths (as
@@ -196,6 +197,8 @@ def main_text(text: str, low: set[int]) -> str:
             held = []
         elif not gone[id(node)] and (node.prior == CONTENT or not marked):
             held.append(piece)
+    if not blocks and low and not marked:  # copies of one page look like a template
+        return main_text(text, set())
     return " ".join(blocks)
 
 
