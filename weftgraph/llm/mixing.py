@@ -114,10 +114,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, with ``copy`` counting from 1
     (a column of that name in the input is replaced)."""
-    got = allot(sized(docs)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").filter("copies > 0")
+    got = allot(sized(docs)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies")).filter("_copies > 0")
     joined = docs.join(got.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return joined.select(*columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"))
 
 
 ORACLE = r"""

@@ -305,9 +305,9 @@ def kept_words(text: bytes, ranges) -> tuple[list[bytes], int]:
 
 def with_ranges(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     """``docs`` with an array column ``_ranges`` of what :func:`repeated_ranges` found (or null)."""
-    by = found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("_ranges")).hint("shuffle_hash")
+    by = found.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges")).hint("shuffle_hash")
     left = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_tag", F.pmod(F.xxhash64(text), F.lit(65536)).cast("int"))
-    return left.join(by, (left["_id"] == by["id"]) & (left["_tag"] == by["tag"]), "left").drop("_id", "_tag", "id", "tag")
+    return left.join(by, ["_id", "_tag"], "left").drop("_id", "_tag")
 
 
 def op10_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,10 +114,11 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], key: str = "d
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        if shared.id not in _counters:
+        which = hash(tuple(shared.value))  # a worker keeps its words between tasks
+        if which not in _counters:
             _counters.clear()
-            _counters[shared.id] = Counter(shared.value)
-        of = _counters[shared.id]
+            _counters[which] = Counter(shared.value)
+        of = _counters[which]
         for batch in batches:
             words, tokens = [], []
             for t in batch.column(1):
