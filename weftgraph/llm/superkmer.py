@@ -14,7 +14,7 @@ passage therefore grows with the number of tasks, not with the number of copies.
 Results: words covered by a window that also starts in a document with a smaller doc_id go.
 A null text has no words; a row with a null doc_id neither loses words nor makes others lose any.
 Rows that repeat a doc_id are one document, though their texts are judged row by row (rows with
-the same doc_id are told apart by 16 bits of a hash of the text). Texts under ``width`` words keep
+the same doc_id are told apart by a 64-bit hash of the text). Texts under ``width`` words keep
 all. An empty table gives an empty result; other columns pass through ``dedup_text`` unchanged.
 """
 
@@ -66,8 +66,8 @@ def _unpack(blob: bytes, n: int) -> list[bytes]:
     return [data[s:e] for s, e in zip([8 * n, *ends[:-1]], ends, strict=True)]
 
 
-PLACE = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("word", "<i4")])
-RANGE = np.dtype([("doc", "<i8"), ("tag", "<u2"), ("start", "<i4"), ("end", "<i4")])
+PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("word", "<i4")])
+RANGE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
 def _columns(a: np.ndarray) -> bytes:
@@ -253,7 +253,7 @@ def _ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for blob in batch.column(0):
             r = _rows(_unpack(blob.as_py(), 1)[0], RANGE)
-            yield {"id": r["doc"], "tag": r["tag"].astype(np.int32), "start": r["start"], "end": r["end"]}
+            yield {"id": r["doc"], "tag": r["tag"], "start": r["start"], "end": r["end"]}
 
 
 def _answered(width: int):
@@ -265,12 +265,12 @@ def _answered(width: int):
                 for doc, tag, word in _rows(_unpack(places.as_py(), 1)[0], PLACE).tolist():
                     found += [(doc, tag, word + s, word + e) for s, e in _runs(least, doc, width)]
             r = np.array(found, RANGE)
-            yield {"id": r["doc"], "tag": r["tag"].astype(np.int32), "start": r["start"], "end": r["end"]}
+            yield {"id": r["doc"], "tag": r["tag"], "start": r["start"], "end": r["end"]}
 
     return kernel
 
 
-RANGES = "id long, tag int, start int, end int"
+RANGES = "id long, tag long, start int, end int"
 
 
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, mer: int = 2, inline: int = 16) -> DataFrame:
@@ -289,7 +289,7 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("id"), text, F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("tag"))
+    return docs.select(F.col(key).cast("long").alias("id"), text, F.xxhash64(text).alias("tag"))
 
 
 def kept_words(text: bytes, ranges) -> tuple[list[bytes], int]:
@@ -306,7 +306,7 @@ def kept_words(text: bytes, ranges) -> tuple[list[bytes], int]:
 def with_ranges(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     """``docs`` with an array column ``_ranges`` of what :func:`repeated_ranges` found (or null)."""
     by = found.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges")).hint("shuffle_hash")
-    left = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_tag", F.pmod(F.xxhash64(text), F.lit(65536)).cast("int"))
+    left = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_tag", F.xxhash64(text))
     return left.join(by, ["_id", "_tag"], "left").drop("_id", "_tag")
 
 

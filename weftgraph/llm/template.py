@@ -10,7 +10,7 @@ share a frame only. A document is contaminated by an item if consistent diagonal
 
 Windows with fewer than ``literal`` plain words are not used, in items and documents alike. Items
 under ``width`` words use one window over the whole item; an item with no usable window matches
-nothing. Null texts are empty. Documents are told apart by (doc_id, 16 bits of a hash of the text),
+nothing. Null texts are empty. Documents are told apart by (doc_id, 64-bit hash of the text),
 so null and repeated ids do not mix; a row for each such document and item is returned. Ties do not
 arise: all items that contaminate a document are reported. Empty tables give an empty result.
 """
@@ -134,8 +134,8 @@ def _text_windows(docs: DataFrame, key: str, text: str, widths: list[int], liter
                         o = pa.array(owner[p])
                         yield {"h": h[x : x + 100_000].view(np.int64), "doc_id": ids.take(o), "tag": tags.take(o), "at": p - t.first[owner[p] - a], "text_slots": t.slots(p, w)}
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("tag"), utf8(text).alias("text"))
-    return arrow_map(rows, kernel, "h long, doc_id long, tag int, at int, text_slots array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), utf8(text).alias("text"))
+    return arrow_map(rows, kernel, "h long, doc_id long, tag long, at int, text_slots array<long>")
 
 
 def leaks(
@@ -189,5 +189,4 @@ def op8_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents contaminated by a benchmark item go."""
     found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    tag = F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (tag == F.col("_tag")), "left_anti").select(docs.columns)
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left_anti").select(docs.columns)
