@@ -22,3 +22,15 @@ def test_texts_under_one_id_lose_only_their_own_repeats(spark):
     docs = docs.unionByName(spark.createDataFrame([(0, passage)], "doc_id long, text string"))
     sizes = [len(r["text"].split()) for r in superkmer.dedup_text(spark, docs, "").collect()]
     assert sizes == [14] * 1601
+
+
+def test_items_of_numbers_and_names_are_found_word_by_word(spark):
+    names = "Anna Ben Carla Dora Emil Fritz Gina Hugo Ida Jan Karl Lena"
+    mixed = ITEM + " " + names
+    items = [(1, "Compute 17 times 23"), (2, names), (3, mixed)]
+    texts = {1: "so compute it: Compute 17 times 23 now", 2: "Compute 18 times 23", 3: f"those are {names} here", 4: names.replace("Emil", "Otto").replace("Ida", "Eva"), 5: ITEM.replace("Anna", "Maria").replace("3", "17")}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    for most in (1 << 20, 0):
+        got = template.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), most_broadcast=most).collect()
+        # Items of names only match their words; one that is a template in part is found by that part as well.
+        assert sorted((r["doc_id"], r["item_id"], r["reparameterised"]) for r in got) == [(1, 1, False), (3, 2, False), (5, 3, True)]

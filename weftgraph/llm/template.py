@@ -8,9 +8,10 @@ document and back. That finds items whose numbers and names were exchanged, and
 share a frame only. A document is contaminated by an item if consistent diagonals cover at least
 ``coverage`` of the item's windows.
 
-Windows with fewer than ``literal`` plain words are not used, in items and documents alike. Items
-under ``width`` words use one window over the whole item; an item with no usable window matches
-nothing. Null texts are empty. Documents are told apart by (doc_id, 64-bit hash of the text),
+A window with fewer than ``literal`` plain words says too little as a template: it is compared by
+the words themselves, in items and documents alike, and fills no slots. The coverage of an item is
+the greater of the shares of its template windows and of all its windows. Items under ``width``
+words use one window over the whole item; an item without words matches nothing. Null texts are empty. Documents are told apart by (doc_id, 64-bit hash of the text),
 so null and repeated ids do not mix; a row for each such document and item is returned. Ties do not
 arise: all items that contaminate a document are reported. Empty tables give an empty result.
 """
@@ -40,6 +41,7 @@ def _hashes(words: str) -> np.ndarray:
     return np.unique(Words([words.encode()]).hash)
 
 
+EXACT = np.uint64(0x5851F42D4C957F2D)
 SLOT = {"num": np.uint64(1), "name": np.uint64(2), "unit": np.uint64(3)}
 
 
@@ -74,25 +76,29 @@ class Template:
         self.slot = number | name | unit
         self.hash = np.where(number, SLOT["num"], np.where(unit, SLOT["unit"], np.where(name, SLOT["name"], self.value)))
 
-    def windows(self, width: int, literal: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each usable window within one text."""
+    def windows(self, width: int, literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word and hash of each window within one text, and whether the hash is of the words
+        themselves, as too few of them are plain."""
         h = rolling(self.hash, width)
         last = np.repeat(self.first + self.count - width, self.count)[: len(h)]
         slots = np.concatenate(([0], np.cumsum(self.slot)))
         plain = width - (slots[width:] - slots[:-width]) if len(h) else h
-        at = np.flatnonzero((np.arange(len(h)) <= last) & (plain >= min(literal, width)))
-        return at, h[at]
+        exact = plain < min(literal, width)
+        h = np.where(exact, rolling(self.value, width) ^ EXACT, h)
+        at = np.flatnonzero(np.arange(len(h)) <= last)
+        return at, h[at], exact[at]
 
-    def slots(self, at: np.ndarray, width: int) -> pa.Array:
-        """Values of the placeholders of each window, in order."""
+    def slots(self, at: np.ndarray, width: int, exact: np.ndarray) -> pa.Array:
+        """Values of the placeholders of each window, in order; none for an ``exact`` one."""
         at = at[:, None] + np.arange(width)
-        filled = self.slot[at] if at.size else np.zeros(at.shape, bool)
+        filled = self.slot[at] & ~exact[:, None] if at.size else np.zeros(at.shape, bool)
         values = self.value[at][filled].view(np.int64)
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(filled.sum(1)))), pa.int32()), pa.array(values, pa.int64()))
 
 
 def _item_windows(items: DataFrame, key: str, text: str, width: int, literal: int) -> DataFrame:
-    """``(h, width, item_id, place, n, slots)``; n: usable windows of the item."""
+    """``(h, width, item_id, place, exact, n, framed, slots)``; n: windows of the item, framed:
+    those compared as templates."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -101,12 +107,12 @@ def _item_windows(items: DataFrame, key: str, text: str, width: int, literal: in
                 w = min(width, int(t.count[0]))
                 if w == 0:
                     continue
-                at, h = t.windows(w, literal)
+                at, h, exact = t.windows(w, literal)
                 n = len(at)
-                yield {"h": h.view(np.int64), "width": [w] * n, "item_id": [item] * n, "place": at, "n": [n] * n, "item_slots": t.slots(at, w)}
+                yield {"h": h.view(np.int64), "width": [w] * n, "item_id": [item] * n, "place": at, "exact": exact, "n": [n] * n, "framed": [n - int(exact.sum())] * n, "item_slots": t.slots(at, w, exact)}
 
     rows = items.select(F.col(key).cast("long").alias("item_id"), utf8(text).alias("text"))
-    return arrow_map(rows, kernel, "h long, width int, item_id long, place int, n int, item_slots array<long>")
+    return arrow_map(rows, kernel, "h long, width int, item_id long, place int, exact boolean, n int, framed int, item_slots array<long>")
 
 
 def _text_windows(docs: DataFrame, key: str, text: str, widths: list[int], literal: int, wanted) -> DataFrame:
@@ -124,15 +130,15 @@ def _text_windows(docs: DataFrame, key: str, text: str, widths: list[int], liter
                 t = Template(texts[a:b])
                 owner = np.repeat(np.arange(a, b), t.count)
                 for w in widths:
-                    at, h = t.windows(w, literal)
+                    at, h, exact = t.windows(w, literal)
                     if wanted is not None:
                         some = np.flatnonzero(quick[h >> np.uint64(44)])
                         some = some[np.isin(h[some], known)]
-                        at, h = at[some], h[some]
+                        at, h, exact = at[some], h[some], exact[some]
                     for x in range(0, len(at), 100_000):
                         p = at[x : x + 100_000]
                         o = pa.array(owner[p])
-                        yield {"h": h[x : x + 100_000].view(np.int64), "doc_id": ids.take(o), "tag": tags.take(o), "at": p - t.first[owner[p] - a], "text_slots": t.slots(p, w)}
+                        yield {"h": h[x : x + 100_000].view(np.int64), "doc_id": ids.take(o), "tag": tags.take(o), "at": p - t.first[owner[p] - a], "text_slots": t.slots(p, w, exact[x : x + 100_000])}
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), utf8(text).alias("text"))
     return arrow_map(rows, kernel, "h long, doc_id long, tag long, at int, text_slots array<long>")
@@ -166,7 +172,11 @@ def leaks(
     hits = _text_windows(docs, key, text, widths, literal, wanted).join(known, "h")
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("text_slots").alias("t"))
     diagonal = hits.groupBy("doc_id", "tag", "item_id", (F.col("at") - F.col("place")).alias("shift"), "width").agg(
-        F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"), F.max("n").alias("n")
+        F.collect_set("place").alias("places"),
+        F.collect_set(F.when(~F.col("exact"), F.col("place"))).alias("frames"),
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+        F.max("n").alias("n"),
+        F.max("framed").alias("framed"),
     )
     left, right = F.transform("pairs", lambda p: p["i"]), F.transform("pairs", lambda p: p["t"])
     distinct_ = F.size("pairs")
@@ -175,9 +185,15 @@ def leaks(
         diagonal.filter(consistent)
         .withColumn("changed", F.exists("pairs", lambda p: p["i"] != p["t"]))
         .groupBy("doc_id", "tag", "item_id")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"), F.max("n").alias("n"), F.min("changed").alias("reparameterised"))
+        .agg(
+            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("frames")))).alias("frames"),
+            F.max("n").alias("n"),
+            F.max("framed").alias("framed"),
+            F.coalesce(F.min(F.when(F.size("frames") > 0, F.col("changed"))), F.lit(False)).alias("reparameterised"),
+        )
     )
-    share = F.col("windows") / F.col("n")
+    share = F.greatest(F.col("windows") / F.col("n"), F.when(F.col("framed") > 0, F.col("frames") / F.col("framed")))
     return found.withColumn("coverage", share).filter(share >= coverage).select("doc_id", "tag", "item_id", "windows", "coverage", "reparameterised")
 
 
