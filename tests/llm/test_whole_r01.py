@@ -1,8 +1,12 @@
 """Cases of the review of round 1."""
 
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import superkmer, template
+from weftgraph.llm import crf, superkmer, template
 
 ITEM = "Anna buys 3 apples and gives Ben 4 pears so how many fruits does Anna hold after Ben returns 4 of the green ones"
 
@@ -34,3 +38,23 @@ def test_items_of_numbers_and_names_are_found_word_by_word(spark):
         got = template.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), most_broadcast=most).collect()
         # Items of names only match their words; one that is a template in part is found by that part as well.
         assert sorted((r["doc_id"], r["item_id"], r["reparameterised"]) for r in got) == [(1, 1, False), (3, 2, False), (5, 3, True)]
+
+
+@pytest.mark.parametrize("tenths", [1, 3, 5, 7, 9])
+def test_words_are_tied_to_toxic_documents_at_any_share_of_labels(tenths):
+    r = random.Random(tenths)
+    docs = []
+    for i in range(1000):
+        toxic = i % 10 < tenths
+        words = [r.choice(["stone", "river", "garden", "window"]) for _ in range(20)]
+        if toxic:
+            words[r.randrange(20)] = "grumble"
+        docs.append((crf.observations([" ".join(words).encode()])[0], int(toxic)))
+    bad, good = (crf.observations([w])[0][0, 0] for w in (b"grumble", b"stone"))
+    count = np.array([h.shape[1] for h, _ in docs])
+    words = np.concatenate([h[0] for h, _ in docs])
+    tied = crf.tied(words, np.repeat(np.arange(1000), count), np.array([y for _, y in docs], float)).tolist()
+    assert bad in tied and good not in tied
+    at = crf.buckets(crf.observations([b"stone grumble river"])[0])
+    p = crf.train(docs).marginals(at, np.array([3]))
+    assert p[1] > 0.5 > max(p[0], p[2])

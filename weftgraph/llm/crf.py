@@ -141,7 +141,9 @@ def tied(word: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
         return k * np.log(np.maximum(k, 1e-9) / np.maximum(n * p, 1e-9))
 
     ratio = part(one, all_, base) + part(all_ - one, all_, 1 - base)
-    return h[(ratio > np.log(max(2, len(h))) + 2) & (one / all_ > max(0.5, 2 * base))]
+    # Odds of a toxic document given the word: over even, and over twice the odds of any document.
+    over = one * (1 - base) > (all_ - one) * max(1 - base, 2 * base)
+    return h[(ratio > np.log(max(2, len(h))) + 2) & over]
 
 
 def train(docs: list[tuple[np.ndarray, int]], rounds: int = 30, rate: float = 0.7, ridge: float = 1e-3) -> Field:
