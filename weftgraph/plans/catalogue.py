@@ -1,7 +1,7 @@
 """Registered queries of the graph operators: name -> callable, and name -> equivalent SQL.
 
-Every query reads whole tables. Scores that depend on the order of a floating sum are rounded in
-both forms.
+Every query reads whole tables; the graphs it builds from them are thinned (see ``derived``). Scores that depend on the
+order of a floating sum are rounded in both forms.
 """
 
 from __future__ import annotations
