@@ -77,8 +77,8 @@ def test_base_scores_are_exact_and_small_head_changes_nothing(spark, docs, rows)
     n, v = sum(c.values()), len(c)
     want = sorted((r[0] is None, r[0] or 0, len(t), sum(c[w] > 0 for w in t), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for t, r in zip(tokens, rows, strict=True))
     scores = []
-    for head in (1 << 17, 0, 7):
-        got = ngram.score(docs, held, filter_bytes=1 << 18, head=head, sample=20).collect()
+    for head, most in ((1 << 17, 1 << 27), (0, 1 << 27), (7, 0)):
+        got = ngram.score(docs, held, head=head, most_broadcast=most).collect()
         assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
         assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
         scores.append(sorted(round(r["score"], 6) for r in got))
@@ -87,18 +87,47 @@ def test_base_scores_are_exact_and_small_head_changes_nothing(spark, docs, rows)
 
 def test_log_bloom_reads_levels_back():
     r = np.random.default_rng(2)
-    h = r.integers(0, 1 << 63, 2000).astype(np.uint64) * np.uint64(2)
-    count = r.integers(1, 1000, 2000)
-    b = ngram.LogBloom(np.zeros(1 << 16, np.uint8), 16)
-    part = (h >> np.uint64(60)).astype(int)
-    b.bits[:] = np.concatenate([np.frombuffer(b.segment(h[part == k], count[part == k], k, 16, 4), np.uint8) for k in range(16)])
-    got = b.read(h)
-    assert (got >= b.level(count)).all() and (got == b.level(count)).mean() > 0.98
-    assert (b.read(h ^ np.uint64(1)) > 0).mean() < 0.05
+    low = np.unique(r.integers(0, 1 << 32, 2000)).astype(np.uint64)
+    count, part = r.integers(1, 1000, len(low)), r.integers(0, 4, len(low))
+    b = ngram.LogBloom(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    b = ngram.LogBloom.joined(8, [(k, b.segment([(low[part == k], count[part == k], 1.0)], 12)) for k in range(4)])
+    got = b.read(part, low)
+    assert (got >= b.level(count, 1.0)).all() and (got == b.level(count, 1.0)).mean() > 0.98
+    assert (b.read(part, low ^ np.uint64(1)) > 0).mean() < 0.05 and not b.read(part + 4, low).any()
+
+
+def test_language_model_scores_against_brute_force(spark, docs, rows):
+    """Exact counts in place of the filter: scores differ by the quantisation at most."""
+    key = lambda i: "" if i is None else str(i)
+    tokens = [[*(w for w in (t or "").encode().lower().split()), None] for _, t, *_ in rows]
+    train = [t for t, r in zip(tokens, rows, strict=True) if zlib.crc32(key(r[0]).encode()) % 5 != 1]
+    grams = [Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
+    begin = Counter(t[0] for t in train)
+    n, v = sum(grams[0].values()), len(grams[0])
+    types = [v, len(grams[1]) + len(begin), len(grams[2]) + len({tuple(t[:2]) for t in train if len(t) > 1})]
+    level = lambda c, least: 0.0 if c < least else least * (1.0 if c < 1.5 * least else 1.5 ** (math.floor(math.log(c / least) / math.log(1.5) + 1e-9) + 0.5))
+    k2, k3 = max(1, types[1] / types[0]), max(1, types[2] / types[1])
+    starts = Counter(tuple(t[:2]) for t in train if len(t) > 1)
+    want = []
+    for t in tokens:
+        s = 0.0
+        for i, w in enumerate(t):
+            p = (level(grams[0][(w,)], 1) + 0.5) / (n + 0.5 * (v + 1))
+            two = grams[1][(t[i - 1], w)] if i else begin[w]
+            past = level(grams[0][(t[i - 1],)], 1) if i else len(train)
+            p = ((min(level(two, 2), past) if past else 0) + k2 * p) / (past + k2)
+            three, over = (grams[2][tuple(t[i - 2 : i + 1])], grams[1][(t[i - 2], t[i - 1])]) if i > 1 else (starts[tuple(t[:2])], begin[t[0]]) if i else (0, 0)
+            past = level(over, 2)
+            p = ((min(level(three, 2), past) if past else 0) + k3 * p) / (past + k3)
+            s += math.log10(min(1, p))
+        want.append(round(s, 4))
+    got = [round(r["score"], 4) for r in ngram.score(docs, ngram.remainder("doc_id", 5) == 1, bits_per_key=40).collect()]
+    assert sum((Counter(want) - Counter(got)).values()) <= 2  # false positives
 
 
 def test_language_model_of_nothing(spark, nothing):
-    assert ngram.score(nothing, ngram.remainder("doc_id", 5) == 1, filter_bytes=1 << 16).count() == 0
+    for most in (1 << 27, -1):
+        assert ngram.score(nothing, ngram.remainder("doc_id", 5) == 1, most_broadcast=most).count() == 0
 
 
 # --- 3 pages ---

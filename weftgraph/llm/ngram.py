@@ -1,38 +1,43 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised on a log scale: a count c has level
-1 + floor(log_base c). The filter holds, for each n-gram, the keys (n-gram, 1) .. (n-gram, level),
-and a count is read back by probing (n-gram, 1), (n-gram, 2), ... until one is missing. A false
-positive can only raise a level. The filter is cut into segments by the high bits of the n-gram's
-hash, so that each reducer sets the bits of its own segments and no partial filters are merged.
-
-Size bound: filters have ``filter_bytes`` each, whatever the corpus holds. Each segment keeps the
-n-grams with the greatest counts that fit it at ``bits_per_key``; a pair seen once carries no
-evidence beyond its words and is never kept. The same rule holds at every size; a larger corpus
-needs a larger ``filter_bytes`` for the same detail.
-
-Probability of a word w after h (deleted interpolation): ``lam * c(h w) / c(h) + (1 - lam) * u(w)``
-with u(w) = (c(w) + 1/2) / (N + (V + 1) / 2), counts read from the filters. ``lam`` depends on the
-level of c(h) and on whether the pair is known; it is the best of a grid on a bounded sample of
-training texts, each pair's own occurrence taken off its count.
+Counts of words, word pairs and word triples are quantised on a log scale: a count c has level
+1 + floor(log_base(c / least)). The filter holds, for each n-gram, the keys (n-gram, 1) ..
+(n-gram, level), and a count is read back by probing (n-gram, 1), (n-gram, 2), ... until one is
+missing. A false positive can only raise a level. The filter is cut into segments by the high bits
+of the n-gram's hash: each reducer counts and sets the bits of its own segments, and no partial
+filters are merged. The number of segments follows the number of shuffle partitions, so that a
+segment's n-grams stay as few however many there are in all.
+
+Size: each segment has ``bits_per_key`` bits for each key it holds, so the filter grows with the
+distinct n-grams and none is left out. All words are kept, and all pairs and triples seen at least
+twice (``LEAST``, at every size): one seen once tells only of the text it stands in, which would
+score its own words as known. If the segments are ``most_broadcast`` bytes at most, they are
+collected and broadcast; beyond, the n-grams of texts travel to the segments instead and their
+levels come back (``ask``), with the same result.
+
+Probability of a word w after g h, smoothed by Dirichlet priors:
+``p1 = (c(w) + 1/2) / (N + (V + 1) / 2)``, ``p2 = (c(h w) + K2 p1) / (c(h) + K2)``,
+``p3 = (c(g h w) + K3 p2) / (c(g h) + K3)``; K2 and K3 are the mean numbers of different successors
+of a word and of a pair, from the distinct n-grams counted in all training rows.
 
 The base score needs exact counts: words among the ``head`` most frequent (a bounded table) are
 looked up where the text is; the others travel as (hash, row) in packed form and are joined with the counts.
 
 Words are lower-cased (A-Z) and identified by 64-bit hashes. Null texts are empty: one token, the
 end. A null doc_id counts as an empty text in the split. Rows that repeat a doc_id are scored each
-and all count in training. Without training rows all counts are zero. Empty tables give empty
-results; other columns do not matter.
+and all count in training. Very long texts are handled whole, one at a time. Without training rows
+all counts are zero. Empty tables give empty results; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +45,9 @@ from weftgraph.llm.common import arrow_map, chunks, cut, remainder, table, utf8
 from weftgraph.llm.vectext import U64, Words, mix
 
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
-LAMBDAS = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99])
 LEVELS = 80
+LEAST = np.array([1.0, 2.0, 2.0])
+LOW = U64(0xFFFFFFFF)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,60 +69,82 @@ def pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mix(before * U64(0xD6E8FEB86659FD93) + after)
 
 
+def triple(before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Of the word two before each token, and the token's pair. The first of a text has none, but
+    its hash (of what precedes in the batch) is never read."""
+    return mix(np.roll(before, 1) * U64(0xA0761D6478BD642F) + pairs + U64(1))
+
+
 @dataclass
 class LogBloom:
-    """A log-frequency Bloom filter of ``segments`` equal parts (a power of two)."""
+    """A log-frequency Bloom filter: segment k is the bytes ``starts[k]:starts[k + 1]``. An n-gram
+    is told by its segment and the 32 bits of its hash below."""
 
     bits: np.ndarray  # uint8
-    segments: int
+    starts: np.ndarray
     base: float = 1.5
     probes: int = 4
 
-    def level(self, count: np.ndarray) -> np.ndarray:
-        return 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(self.base) + 1e-9).astype(np.int64)
+    @staticmethod
+    def split(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+        """Segment (of a power of two) and the 32 bits below."""
+        s = segments.bit_length() - 1
+        return (h >> U64(63 - s) >> U64(1)).astype(np.int64) if s else np.zeros(len(h), np.int64), (h >> U64(32 - s)) & LOW
 
-    def count(self, level: np.ndarray) -> np.ndarray:
+    def level(self, count: np.ndarray, least: float) -> np.ndarray:
+        return 1 + np.floor(np.log(np.maximum(count / least, 1)) / np.log(self.base) + 1e-9).astype(np.int64)
+
+    def count(self, level: np.ndarray, least: float) -> np.ndarray:
         """The middle of a level on the log scale; exact for the first."""
-        return np.where(level <= 0, 0.0, np.where(level == 1, 1.0, self.base ** (level - 0.5)))
-
-    def places(self, h: np.ndarray, level: np.ndarray) -> np.ndarray:
-        """Bit numbers within the whole filter: ``probes`` rows."""
-        size = len(self.bits) * 8 // self.segments
-        part = (h >> U64(64 - self.segments.bit_length() + 1)).astype(np.int64) if self.segments > 1 else np.zeros(len(h), np.int64)
-        key = mix(h ^ (level.astype(U64) * U64(0x9E3779B97F4A7C15)))
-        step = (key >> U64(32)) | U64(1)
-        k = np.arange(self.probes, dtype=U64)[:, None]
-        return part * size + ((key + k * step) % U64(size)).astype(np.int64)
-
-    def read(self, h: np.ndarray) -> np.ndarray:
+        return np.where(level <= 0, 0.0, least * np.where(level == 1, 1.0, self.base ** (level - 0.5)))
+
+    def read(self, part: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Levels by repeated membership probes; 0 for what is not there."""
-        levels = np.zeros(len(h), np.int64)
-        alive = np.arange(len(h))
+        levels = np.zeros(len(low), np.int64)
+        begin = self.starts[part]
+        size = ((self.starts[part + 1] - begin) * 8).astype(U64)
+        alive = np.arange(len(low))
         for level in range(1, LEVELS):
-            hit = np.ones(len(alive), bool)
-            at = self.places(h[alive], np.full(len(alive), level))
-            for row in at:
-                hit &= (self.bits[row >> 3] >> (row & 7).astype(np.uint8)) & 1 == 1
-            alive = alive[hit]
+            lo, step = keys(low[alive], level)
+            for k in range(self.probes):
+                at = begin[alive] * 8 + place(lo, step, k, size[alive])
+                hit = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+                alive, lo, step = alive[hit], lo[hit], step[hit]
             if not len(alive):
                 break
             levels[alive] = level
         return levels
 
-    def segment(self, h: np.ndarray, count: np.ndarray, part: int, parts: int, bits_per_key: int) -> bytes:
-        """Bytes of part ``part`` of ``parts`` (segments of the built filter): the n-grams with
-        the greatest counts that fit, ties by hash."""
-        size = len(self.bits) // parts
-        level = self.level(count)
-        order = np.lexsort((h, -count))
-        order = order[np.cumsum(level[order]) * bits_per_key <= size * 8]
-        h, level = h[order], level[order]
-        out = np.zeros(size * 8, bool)
+    def segment(self, found: list[tuple[np.ndarray, np.ndarray, float]], bits_per_key: int) -> bytes:
+        """Bytes of one segment; ``found``: 32 bits, count and least count of its n-grams."""
+        low = np.concatenate([x for x, _, _ in found])
+        level = np.concatenate([self.level(n, least) for _, n, least in found])
+        size = max(64, -(-int(level.sum()) * bits_per_key // 64) * 64)
+        out = np.zeros(size, bool)
         for k in range(1, int(level.max(initial=0)) + 1):
-            some = level >= k
-            out[(self.places(h[some], level[some] * 0 + k) - part * size * 8).ravel()] = True
+            low, level = low[level >= k], level[level >= k]
+            lo, step = keys(low, k)
+            for i in range(self.probes):
+                out[place(lo, step, i, np.full(len(low), size, U64))] = True
         return np.packbits(out, bitorder="little").tobytes()
 
+    @classmethod
+    def joined(cls, segments: int, found: Iterable[tuple[int, bytes]]) -> LogBloom:
+        """The filter of some segments; those without n-grams are empty."""
+        parts = [bytes(8)] * segments
+        for k, data in found:
+            parts[k] = data
+        return cls(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
+
+
+def keys(low: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    key = mix(low * U64(0x9E3779B97F4A7C15) + U64(level * 0xD1B54A32D192ED03 % (1 << 64)))
+    return key & LOW, key >> U64(32) | U64(1)
+
+
+def place(lo: np.ndarray, step: np.ndarray, k: int, size: np.ndarray) -> np.ndarray:
+    return (((lo + U64(k) * step) & LOW) * size >> U64(32)).astype(np.int64)
+
 
 def word_counts(rows: DataFrame) -> DataFrame:
     """``(h, c)`` over training rows ``(text)``."""
@@ -144,170 +172,110 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("text"), kernel, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def pair_filter(rows: DataFrame, shape: LogBloom, bits_per_key: int) -> DataFrame:
-    """``(part, bits)``: segments of the filter over pairs seen twice or more in training rows.
+def orders(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hash of the word, the pair and the triple that end at each token, and tokens by text."""
+    after, before, n = tokens(texts)
+    pairs = pair(before, after)
+    return [after, pairs, triple(before, pairs)], n
+
+
+def segments_of(rows: DataFrame, segments: int, bits_per_key: int) -> DataFrame:
+    """``(part, bits, types)``: the segments, and how many different n-grams of each order they
+    have seen.
 
-    Each task packs its distinct pairs by segment: 40 bits of hash each, and the counts over 1.
-    With the segment's number that leaves about 2**-48 of the pairs mistaken for another."""
-    parts = shape.segments
-    shift = U64(64 - parts.bit_length() + 1)
+    Each task packs its distinct n-grams by segment: 32 bits of hash each, and the counts over 1."""
+    s = segments.bit_length() - 1
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = [[], [], []]
         size = 0
 
         def flush() -> Iterator[dict]:
-            # The kept bits of the hash: segment and the 40 below it.
-            h, n = np.unique(np.concatenate(held) >> (shift - U64(40)), return_counts=True)
-            begin = np.searchsorted(h >> U64(40), np.arange(parts + 1, dtype=U64))
-            low = h & U64((1 << 40) - 1)
-            b = low.view(np.uint8).reshape(-1, 8)[:, :5]
-            some = [k for k in range(parts) if begin[k + 1] > begin[k]]
-            blobs, extra = [], []
-            for k in some:
-                x, y = begin[k], begin[k + 1]
-                more = np.flatnonzero(n[x:y] > 1)
-                blobs.append(np.ascontiguousarray(b[x:y]).tobytes())
-                extra.append(more.astype("<i4").tobytes() + n[x:y][more].astype("<i4").tobytes())
-            for x in range(0, len(some), 256):
-                yield {"part": some[x : x + 256], "low": blobs[x : x + 256], "extra": extra[x : x + 256]}
+            for order, arrays in enumerate(held):
+                h, n = np.unique(np.concatenate(arrays) >> U64(32 - s), return_counts=True)
+                begin = np.searchsorted(h >> U64(32), np.arange(segments + 1, dtype=U64)).tolist()
+                low = (h & LOW).astype("<u4")
+                out: list[tuple] = []
+                for k in range(segments):
+                    x, y = begin[k], begin[k + 1]
+                    if x == y:
+                        continue
+                    more = np.flatnonzero(n[x:y] > 1)
+                    out.append((k, low[x:y].tobytes(), more.astype("<i4").tobytes() + n[x:y][more].astype("<i4").tobytes()))
+                    if len(out) == 256:
+                        yield rows_(order, out)
+                        out = []
+                if out:
+                    yield rows_(order, out)
+                arrays.clear()
+
+        def rows_(order: int, out: list[tuple]) -> dict:
+            k, low, extra = zip(*out, strict=True)
+            return {"part": list(k), "order": [order] * len(k), "low": list(low), "extra": list(extra)}
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in chunks(texts):
-                after, before, _ = tokens(texts[a:b])
-                held.append(pair(before, after))
-                size += len(after)
-                if size > 3_000_000:
+                hashes, n = orders(texts[a:b])
+                inner = np.ones(len(hashes[0]), bool)
+                inner[np.cumsum(n) - n] = False
+                for arrays, h in zip(held, (hashes[0], hashes[1], hashes[2][inner]), strict=True):
+                    arrays.append(h)
+                size += len(hashes[0])
+                if size > 2_000_000:
                     yield from flush()
-                    held.clear()
                     size = 0
-        if held:
+        if size:
             yield from flush()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        shape = LogBloom(np.zeros(0, np.uint8), np.zeros(1, np.int64))
         rows_ = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for part, group in itertools.groupby(rows_, key=lambda r: r[0]):
-            low, n = [], []
-            for _, x, extra in group:
-                wide = np.zeros((len(x) // 5, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-                low.append(wide.view(U64).ravel())
-                times = np.ones(len(wide), np.int64)
-                e = np.frombuffer(extra, "<i4").reshape(2, -1)
-                times[e[0]] = e[1]
-                n.append(times)
-            h, at = np.unique(np.concatenate(low), return_inverse=True)
-            n_ = np.bincount(at, np.concatenate(n)).astype(np.int64)
-            some = n_ > 1
-            full = ((U64(part) << U64(40)) | h[some]) << (shift - U64(40))
-            yield {"part": [part], "bits": [shape.segment(full, n_[some], part, parts, bits_per_key)]}
-
-    sent = arrow_map(rows.select("text"), send, "part int, low binary, extra binary")
-    return arrow_map(sent.repartition("part").sortWithinPartitions("part"), count, "part int, bits binary")
-
-
-def coarse(h: np.ndarray, parts: int) -> np.ndarray:
-    """The bits of a pair's hash that its segment and its 40 bits keep."""
-    drop = U64(64 - parts.bit_length() + 1 - 40)
-    return (h >> drop) << drop
-
-
-def word_filter(counts: DataFrame, shape: LogBloom, least: int, bits_per_key: int) -> DataFrame:
-    """``(part, bits)`` over words with a count of at least ``least``; groups are bounded, as
-    ``least`` lets through no more words than fit."""
-    parts = shape.segments
-
-    def build(key: tuple, group: pa.Table) -> pa.Table:
-        h = group.column("h").to_numpy().view(U64)
-        bits = shape.segment(h, group.column("c").to_numpy(), key[0].as_py(), parts, bits_per_key)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits], pa.binary())})
-
-    part = F.shiftrightunsigned("h", 64 - parts.bit_length() + 1).cast("int")
-    return counts.filter(F.col("c") >= least).withColumn("part", part).groupBy("part").applyInArrow(build, "part int, bits binary")
-
-
-def gather(shape: LogBloom, segments: DataFrame) -> LogBloom:
-    """The filter, from its segments; its size is fixed."""
-    bits = np.zeros(len(shape.bits), np.uint8)
-    size = len(bits) // shape.segments
-    for part, data in segments.collect():
-        bits[part * size : (part + 1) * size] = np.frombuffer(data, np.uint8)
-    return replace(shape, bits=bits)
+            found, types = [], [0, 0, 0]
+            for order, blobs in itertools.groupby(group, key=lambda r: r[1]):
+                low, n = [], []
+                for _, _, x, extra in blobs:
+                    low.append(np.frombuffer(x, "<u4"))
+                    times = np.ones(len(low[-1]), np.int64)
+                    e = np.frombuffer(extra, "<i4").reshape(2, -1)
+                    times[e[0]] = e[1]
+                    n.append(times)
+                h, at = np.unique(np.concatenate(low), return_inverse=True)
+                n_ = np.bincount(at, np.concatenate(n)).astype(np.int64)
+                types[order] = len(h)
+                some = n_ >= LEAST[order]
+                found.append((h[some].astype(U64), n_[some], LEAST[order]))
+            yield {"part": [part], "bits": [shape.segment(found, bits_per_key)], "types": [types]}
+
+    sent = arrow_map(rows.select("text"), send, "part int, order int, low binary, extra binary")
+    return arrow_map(sent.repartition("part").sortWithinPartitions("part", "order"), count, "part int, bits binary, types array<long>")
 
 
 @dataclass
 class Model:
-    words: LogBloom
-    pairs: LogBloom
+    """What besides the filter the probabilities need."""
+
+    texts: int
     total: int
     distinct: int
-    lam: np.ndarray  # by level of c(h); a row for unknown pairs and one for known
-
-    def parts(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: u(w), the level of h, c(h), c(h w), whether the pair is known."""
-        w, at = np.unique(after, return_inverse=True)
-        u = (self.words.count(self.words.read(w)) + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        h, of = np.unique(before, return_inverse=True)
-        level = self.words.read(h)
-        p = coarse(pair(before, after), self.pairs.segments)
-        found = self.pairs.count(self.pairs.read(p))
-        c = self.words.count(level)[of]
-        return u[at], level[of], c, np.minimum(found, c), found > 0
-
-    def log10(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        u, level, c, both, known = self.parts(before, after)
-        lam = self.lam[known.astype(np.int64), level]
-        return np.log10(np.minimum(1.0, lam * both / np.maximum(c, 1.0) + (1 - lam) * u))
-
-
-def tune(rows: DataFrame, model: Model, sample: int) -> np.ndarray:
-    """Best ``lam`` for each level of c(h), over at most ``sample`` training texts."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        m = shared.value
-        sums = np.zeros((LEVELS, len(LAMBDAS)))
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                after, before, _ = tokens(texts[a:b])
-                u, level, c, both, _ = m.parts(before, after)
-                rest = np.maximum(both - 1, 0) / np.maximum(c - 1, 1)
-                for k, lam in enumerate(LAMBDAS):
-                    sums[:, k] += np.bincount(level, np.log(lam * rest + (1 - lam) * u), LEVELS)
-        for level in np.flatnonzero(sums.any(1)).tolist():
-            yield {"level": [level] * len(LAMBDAS), "k": np.arange(len(LAMBDAS)), "s": sums[level]}
-
-    got = arrow_map(chosen.select("doc_id", "text"), kernel, "level int, k int, s double").groupBy("level", "k").agg(F.sum("s").alias("s")).toPandas()
-    shared.destroy()
-    lam = np.zeros((2, LEVELS))
-    for level, group in got.groupby("level"):
-        lam[:, level] = LAMBDAS[int(group.sort_values(["s", "k"], ascending=[False, True])["k"].iloc[0])]
-    lam[:, 0] = 0
-    return lam
-
-
-def fit(rows: DataFrame, counts: DataFrame, total: int, distinct: int, least: int, filter_bytes: int, bits_per_key: int, sample: int) -> Model:
-    segments = 256
-    empty = LogBloom(np.zeros(filter_bytes, np.uint8), segments)
-    words = gather(empty, word_filter(counts, empty, least, bits_per_key))
-    pairs = gather(empty, pair_filter(rows, empty, bits_per_key))
-    model = Model(words, pairs, total, distinct, np.zeros((2, LEVELS)))
-    return replace(model, lam=tune(rows, model, sample))
-
-
-def score(
-    docs: DataFrame,
-    held: Column,
-    key: str = "doc_id",
-    text: str = "text",
-    filter_bytes: int = 1 << 25,
-    bits_per_key: int = 12,
-    head: int = 1 << 17,
-    sample: int = 500,
-) -> DataFrame:
+    prior: tuple[float, float]
+
+    def log10(self, counts: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+        """Of each token; ``counts`` of the word, pair and triple that end there, texts one after
+        another with ``n`` tokens each."""
+        first = np.cumsum(n) - n
+        word, two, three = counts
+        h, gh = np.roll(word, 1), np.roll(two, 1)
+        h[first], gh[first] = self.texts, 0
+        p = (word + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        for c, past, k in ((two, h, self.prior[0]), (three, gh, self.prior[1])):
+            c = np.where(past > 0, np.minimum(c, past), 0.0)
+            p = (c + k * p) / (past + k)
+        return np.log10(np.minimum(p, 1.0))
+
+
+def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", bits_per_key: int = 12, head: int = 1 << 17, most_broadcast: int = 1 << 27) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text"), held.alias("held_out"))
@@ -316,44 +284,111 @@ def score(
     # Words by count, on a scale of eight steps for each doubling: a few hundred rows.
     scale = counts.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("c").alias("least")).toPandas().sort_values("step", ascending=False)
     total, distinct = int(scale["c"].sum()), int(scale["n"].sum())
-    upto = scale["n"].cumsum()
-    fits = scale[upto <= head]
+    fits = scale[scale["n"].cumsum() <= head]
     least = int(fits["least"].iloc[-1]) if len(fits) else 1 << 62
     often = counts.filter(F.col("c") >= least).toPandas().sort_values("h")
     table_ = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["c"].to_numpy(np.int64)))
-    keys = scale["n"] * (1 + np.log(scale["least"].clip(lower=1)) / np.log(1.5))
-    fits = scale[keys.cumsum() * bits_per_key <= filter_bytes * 8]
-    model = spark.sparkContext.broadcast(fit(training, counts, total, distinct, int(fits["least"].iloc[-1]) if len(fits) else 1 << 62, filter_bytes, bits_per_key, sample))
-    floor = total + 0.5 * (distinct + 1)
+    ends = counts.filter(F.col("h") == int(END.view(np.int64))).first()
 
-    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    segments = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    built = cut(segments_of(training, segments, bits_per_key))
+    size, *types = built.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)), *[F.coalesce(F.sum(F.col("types")[k]), F.lit(0)) for k in range(3)]).first()
+    prior = tuple(max(1.0, types[k + 1] / max(1, types[k])) for k in range(2))
+    model = Model(ends["c"] if ends else 0, total, distinct, prior)
+
+    def result(ids, helds, hashes: list[np.ndarray], n: np.ndarray, levels: list[np.ndarray], shape: LogBloom) -> dict:
         h_, c_ = table_.value
-        m = model.value
+        lm = model.log10([shape.count(x, least_) for x, least_ in zip(levels, LEAST, strict=True)], n)
+        first, signed = np.cumsum(n) - n, hashes[0].view(np.int64)
+        at = np.minimum(np.searchsorted(h_, signed), max(0, len(h_) - 1))
+        hit = h_[at] == signed if len(h_) else np.zeros(len(signed), bool)
+        logs = np.where(hit, np.log10((c_[at] if len(h_) else 0) + 0.5), 0.0)
+        rare = np.flatnonzero(~hit)
+        begin = np.searchsorted(rare, np.append(first, len(signed)))
+        return {
+            "doc_id": ids, "held_out": helds, "n_tokens": n, "known": np.add.reduceat(hit.astype(np.int64), first), "logs": np.add.reduceat(logs, first),
+            "score": np.add.reduceat(lm, first), "rare": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(signed[rare])),
+        }
+
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>"
+    if size <= most_broadcast:
+        bloom = spark.sparkContext.broadcast(LogBloom.joined(segments, built.select("part", "bits").toLocalIterator()))
+
+        def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+            shape = bloom.value
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for a, b in chunks(texts):
+                    hashes, n = orders(texts[a:b])
+                    words, at = np.unique(hashes[0], return_inverse=True)
+                    levels = [shape.read(*shape.split(words, segments))[at], *(shape.read(*shape.split(h, segments)) for h in hashes[1:])]
+                    yield result(batch.column(0)[a:b], batch.column(2)[a:b], hashes, n, levels, shape)
+
+        scored = arrow_map(rows, kernel, schema)
+    else:
+        scored = ask(rows, built, segments, result, schema)
+    return finish(scored, counts, total, total + 0.5 * (distinct + 1))
+
+
+def ask(rows: DataFrame, built: DataFrame, segments: int, result, schema: str) -> DataFrame:
+    """The same without a broadcast filter. Texts are packed into units of about 1 MB; a unit's
+    distinct n-grams go to the segments' tasks, their levels come back to the unit. Tasks stream:
+    they hold some segments, or one unit."""
+    groups = max(1, segments // 4)
+    s, g = segments.bit_length() - 1, groups.bit_length() - 1
+
+    def unit(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts, names, helds = batch.column(1).to_pylist(), batch.column(0), batch.column(2)
+            texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                after, before, n = tokens(texts[a:b])
-                first = np.cumsum(n) - n
-                owner = np.repeat(np.arange(b - a), n)
-                signed = after.view(np.int64)
-                at = np.minimum(np.searchsorted(h_, signed), max(0, len(h_) - 1))
-                hit = h_[at] == signed if len(h_) else np.zeros(len(signed), bool)
-                logs = np.where(hit, np.log10((c_[at] if len(h_) else 0) + 0.5), 0.0)
-                lm = m.log10(before, after)
-                rare = np.flatnonzero(~hit)
-                begin = np.searchsorted(owner[rare], np.arange(b - a + 1))
-                yield {
-                    "doc_id": names[a:b],
-                    "held_out": helds[a:b],
-                    "n_tokens": n,
-                    "known": np.add.reduceat(hit.astype(np.int64), first),
-                    "logs": np.add.reduceat(logs, first),
-                    "score": np.add.reduceat(lm, first),
-                    "rare": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(signed[rare])),
-                }
-
-    scored = arrow_map(rows, kernel, "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>")
-    return finish(scored, counts, total, floor)
+                yield {"unit": [number], "ids": [batch.column(0)[a:b].to_pylist()], "helds": [batch.column(2)[a:b].to_pylist()], "texts": [texts[a:b]]}
+                number += 1
+
+    def distinct(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        hashes, n = orders(texts)
+        h, at = np.unique(np.concatenate(hashes) >> U64(32 - s), return_inverse=True)
+        return hashes, n, h, at
+
+    def question(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = distinct(texts.as_py())[2]
+                group = (h >> U64(32 + s - g)).astype(np.int64)
+                some = np.flatnonzero(np.diff(group, prepend=-1))
+                ends = np.append(some[1:], len(h))
+                yield {"group": group[some], "kind": [1] * len(some), "number": [number] * len(some), "data": [h[x:y].tobytes() for x, y in zip(some, ends, strict=True)]}
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        rows_ = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for group, some in itertools.groupby(rows_, key=lambda r: r[0]):
+            held: list[tuple[int, bytes]] = []
+            bloom = None
+            for _, kind, number, data in some:
+                if kind == 0:
+                    held.append((number & (segments // groups - 1), data))
+                    continue
+                bloom = bloom or LogBloom.joined(segments // groups, held)
+                h = np.frombuffer(data, U64)
+                levels = bloom.read((h >> U64(32)).astype(np.int64) & (segments // groups - 1), h & LOW)
+                yield {"unit": [number], "group": [group], "data": [levels.astype(np.uint8).tobytes()]}
+
+    def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        shape = LogBloom(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        rows_ = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, some in itertools.groupby(rows_, key=lambda r: r[0]):
+            _, _, ids, helds, texts, _ = next(some)
+            hashes, n, _, at = distinct(texts)
+            level = np.frombuffer(b"".join([r[5] for r in some]), np.uint8).astype(np.int64)[at]
+            yield result(ids, helds, hashes, n, np.split(level, 3), shape)
+
+    units = cut(arrow_map(rows, unit, "unit long, ids array<long>, helds array<boolean>, texts array<binary>"))
+    asked = arrow_map(units.select("unit", "texts"), question, "group int, kind int, number long, data binary")
+    known = built.select(F.shiftright("part", s - g).alias("group"), F.lit(0).alias("kind"), F.col("part").cast("long").alias("number"), F.col("bits").alias("data"))
+    answers = arrow_map(known.unionByName(asked).repartition("group").sortWithinPartitions("group", "kind"), answer, "unit long, group int, data binary")
+    void = units.select("unit", F.lit(-1).alias("group"), "ids", "helds", "texts", F.lit(None).cast("binary").alias("data"))
+    both = void.unionByName(answers, allowMissingColumns=True)
+    return arrow_map(both.repartition("unit").sortWithinPartitions("unit", "group"), finished, schema)
 
 
 def finish(scored: DataFrame, counts: DataFrame, total: int, floor: float) -> DataFrame:
