@@ -15,10 +15,12 @@ score its own words as known. If the segments are ``most_broadcast`` bytes at mo
 collected and broadcast; beyond, the n-grams of texts travel to the segments instead and their
 levels come back (``ask``), with the same result.
 
-Probability of a word w after g h, smoothed by Dirichlet priors:
-``p1 = (c(w) + 1/2) / (N + (V + 1) / 2)``, ``p2 = (c(h w) + K2 p1) / (c(h) + K2)``,
-``p3 = (c(g h w) + K3 p2) / (c(g h) + K3)``; K2 and K3 are the mean numbers of different successors
-of a word and of a pair, from the distinct n-grams counted in all training rows.
+Probability of a word w after g h, each order interpolated with the one below:
+``p1 = (c(w) + 1/2) / (N + (V + 1) / 2)``, ``p2 = k * c(h w) / (f * c(h)) + (1 - k) * p1``, and p3
+likewise from c(g h w) and c(g h). f is the share of training tokens, among those whose history has
+the level of c(h), whose n-gram is kept; k the share that would still be kept with the token itself
+left out. Both come from all training rows, in one pass over the levels of the first. As f is
+a mean over histories, probabilities sum to 1 on average over the histories of a level.
 
 The base score needs exact counts: words among the ``head`` most frequent (a bounded table) are
 looked up where the text is; the others travel as (hash, row) in packed form and are joined with the counts.
@@ -37,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,8 +183,7 @@ def orders(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def segments_of(rows: DataFrame, segments: int, bits_per_key: int) -> DataFrame:
-    """``(part, bits, types)``: the segments, and how many different n-grams of each order they
-    have seen.
+    """``(part, bits)``: the segments.
 
     Each task packs its distinct n-grams by segment: 32 bits of hash each, and the counts over 1."""
     s = segments.bit_length() - 1
@@ -232,7 +234,7 @@ def segments_of(rows: DataFrame, segments: int, bits_per_key: int) -> DataFrame:
         shape = LogBloom(np.zeros(0, np.uint8), np.zeros(1, np.int64))
         rows_ = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for part, group in itertools.groupby(rows_, key=lambda r: r[0]):
-            found, types = [], [0, 0, 0]
+            found = []
             for order, blobs in itertools.groupby(group, key=lambda r: r[1]):
                 low, n = [], []
                 for _, _, x, extra in blobs:
@@ -243,38 +245,89 @@ def segments_of(rows: DataFrame, segments: int, bits_per_key: int) -> DataFrame:
                     n.append(times)
                 h, at = np.unique(np.concatenate(low), return_inverse=True)
                 n_ = np.bincount(at, np.concatenate(n)).astype(np.int64)
-                types[order] = len(h)
                 some = n_ >= LEAST[order]
                 found.append((h[some].astype(U64), n_[some], LEAST[order]))
-            yield {"part": [part], "bits": [shape.segment(found, bits_per_key)], "types": [types]}
+            yield {"part": [part], "bits": [shape.segment(found, bits_per_key)]}
 
     sent = arrow_map(rows.select("text"), send, "part int, order int, low binary, extra binary")
-    return arrow_map(sent.repartition("part").sortWithinPartitions("part", "order"), count, "part int, bits binary, types array<long>")
+    return arrow_map(sent.repartition("part").sortWithinPartitions("part", "order"), count, "part int, bits binary")
 
 
 @dataclass
 class Model:
-    """What besides the filter the probabilities need."""
+    """What besides the filter the probabilities need. ``seen``: by order (pairs, triples) and level
+    of the history, training tokens in all, of a kept n-gram, of one kept without the token."""
 
     texts: int
     total: int
     distinct: int
-    prior: tuple[float, float]
+    base: float
+    seen: np.ndarray
 
-    def log10(self, counts: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-        """Of each token; ``counts`` of the word, pair and triple that end there, texts one after
+    def log10(self, levels: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of each token; ``levels`` of the word, pair and triple that end there, texts one after
         another with ``n`` tokens each."""
-        first = np.cumsum(n) - n
-        word, two, three = counts
-        h, gh = np.roll(word, 1), np.roll(two, 1)
-        h[first], gh[first] = self.texts, 0
-        p = (word + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        for c, past, k in ((two, h, self.prior[0]), (three, gh, self.prior[1])):
-            c = np.where(past > 0, np.minimum(c, past), 0.0)
-            p = (c + k * p) / (past + k)
+        shape = LogBloom(np.zeros(0, np.uint8), np.zeros(1, np.int64), self.base)
+        past = histories(levels, n)
+        p = (shape.count(levels[0], LEAST[0]) + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        for order in (1, 2):
+            h = past[order - 1]
+            over = shape.count(h, LEAST[order - 1])
+            if order == 1:
+                over[np.cumsum(n) - n] = self.texts
+            all_, kept, still = self.seen[order - 1]
+            k, f = (still / np.maximum(all_, 1))[h], (kept / np.maximum(all_, 1))[h]
+            share = np.minimum(1.0, shape.count(levels[order], LEAST[order]) / np.maximum(over * f, 1e-9))
+            p = k * share + (1 - k) * p
         return np.log10(np.minimum(p, 1.0))
 
 
+def histories(levels: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Levels of the word before each token, and of the pair before it; the last level stands for
+    the beginning of a text."""
+    past = np.roll(levels[:2], 1, 1)
+    first = np.cumsum(n) - n
+    past[0, first], past[1, first] = LEVELS - 1, 0
+    return past
+
+
+def packed(levels: np.ndarray, n: np.ndarray) -> list[bytes]:
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    ends = np.cumsum(n)
+    small = levels.astype(np.uint8)
+    return [squeeze(small[:, x:y].tobytes()) for x, y in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+
+
+def unpacked(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows, levels and numbers of tokens, a few million tokens (or one text) at a time."""
+    loose = zstandard.ZstdDecompressor().decompress
+    blobs = column.to_pylist()
+    for a, b in chunks(blobs, 1 << 18):
+        each = [np.frombuffer(loose(x), np.uint8).reshape(3, -1) for x in blobs[a:b]]
+        yield a, b, np.concatenate(each, 1).astype(np.int64), np.array([x.shape[1] for x in each])
+
+
+def seen_levels(levels: DataFrame) -> np.ndarray:
+    """``Model.seen`` over training rows ``(levels)``; ``still``: counts of 3 and more, whose level
+    is 2 at least."""
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        sums = np.zeros((2, 3, LEVELS), np.int64)
+        for batch in batches:
+            for _, _, level, n in unpacked(batch.column(0)):
+                past = histories(level, n)
+                for order in (1, 2):
+                    for k in range(3):
+                        sums[order - 1, k] += np.bincount(past[order - 1][level[order] >= k], minlength=LEVELS)
+        at = np.flatnonzero(sums.ravel())
+        yield {"at": at, "n": sums.ravel()[at]}
+
+    out = np.zeros(2 * 3 * LEVELS)
+    for at, n in arrow_map(levels, kernel, "at int, n long").groupBy("at").agg(F.sum("n")).collect():  # 480 rows at most
+        out[at] = n
+    return out.reshape(2, 3, LEVELS)
+
+
 def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text", bits_per_key: int = 12, head: int = 1 << 17, most_broadcast: int = 1 << 27) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``."""
     spark = docs.sparkSession
@@ -292,13 +345,10 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
 
     segments = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     built = cut(segments_of(training, segments, bits_per_key))
-    size, *types = built.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)), *[F.coalesce(F.sum(F.col("types")[k]), F.lit(0)) for k in range(3)]).first()
-    prior = tuple(max(1.0, types[k + 1] / max(1, types[k])) for k in range(2))
-    model = Model(ends["c"] if ends else 0, total, distinct, prior)
+    size = built.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
 
-    def result(ids, helds, hashes: list[np.ndarray], n: np.ndarray, levels: list[np.ndarray], shape: LogBloom) -> dict:
+    def result(ids, helds, hashes: list[np.ndarray], n: np.ndarray, levels: np.ndarray) -> dict:
         h_, c_ = table_.value
-        lm = model.log10([shape.count(x, least_) for x, least_ in zip(levels, LEAST, strict=True)], n)
         first, signed = np.cumsum(n) - n, hashes[0].view(np.int64)
         at = np.minimum(np.searchsorted(h_, signed), max(0, len(h_) - 1))
         hit = h_[at] == signed if len(h_) else np.zeros(len(signed), bool)
@@ -307,10 +357,10 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
         begin = np.searchsorted(rare, np.append(first, len(signed)))
         return {
             "doc_id": ids, "held_out": helds, "n_tokens": n, "known": np.add.reduceat(hit.astype(np.int64), first), "logs": np.add.reduceat(logs, first),
-            "score": np.add.reduceat(lm, first), "rare": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(signed[rare])),
+            "levels": packed(levels, n), "rare": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(signed[rare])),
         }
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, levels binary, rare array<long>"
     if size <= most_broadcast:
         bloom = spark.sparkContext.broadcast(LogBloom.joined(segments, built.select("part", "bits").toLocalIterator()))
 
@@ -321,13 +371,15 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
                 for a, b in chunks(texts):
                     hashes, n = orders(texts[a:b])
                     words, at = np.unique(hashes[0], return_inverse=True)
-                    levels = [shape.read(*shape.split(words, segments))[at], *(shape.read(*shape.split(h, segments)) for h in hashes[1:])]
-                    yield result(batch.column(0)[a:b], batch.column(2)[a:b], hashes, n, levels, shape)
+                    levels = np.stack([shape.read(*shape.split(words, segments))[at], *(shape.read(*shape.split(h, segments)) for h in hashes[1:])])
+                    yield result(batch.column(0)[a:b], batch.column(2)[a:b], hashes, n, levels)
 
         scored = arrow_map(rows, kernel, schema)
     else:
         scored = ask(rows, built, segments, result, schema)
-    return finish(scored, counts, total, total + 0.5 * (distinct + 1))
+    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
+    seen = seen_levels(scored.filter(~F.col("held_out")).select("levels"))
+    return finish(scored, counts, Model(ends["c"] if ends else 0, total, distinct, 1.5, seen))
 
 
 def ask(rows: DataFrame, built: DataFrame, segments: int, result, schema: str) -> DataFrame:
@@ -374,13 +426,12 @@ def ask(rows: DataFrame, built: DataFrame, segments: int, result, schema: str) -
                 yield {"unit": [number], "group": [group], "data": [levels.astype(np.uint8).tobytes()]}
 
     def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        shape = LogBloom(np.zeros(0, np.uint8), np.zeros(1, np.int64))
         rows_ = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for _, some in itertools.groupby(rows_, key=lambda r: r[0]):
             _, _, ids, helds, texts, _ = next(some)
             hashes, n, _, at = distinct(texts)
             level = np.frombuffer(b"".join([r[5] for r in some]), np.uint8).astype(np.int64)[at]
-            yield result(ids, helds, hashes, n, np.split(level, 3), shape)
+            yield result(ids, helds, hashes, n, level.reshape(3, -1))
 
     units = cut(arrow_map(rows, unit, "unit long, ids array<long>, helds array<boolean>, texts array<binary>"))
     asked = arrow_map(units.select("unit", "texts"), question, "group int, kind int, number long, data binary")
@@ -391,14 +442,22 @@ def ask(rows: DataFrame, built: DataFrame, segments: int, result, schema: str) -
     return arrow_map(both.repartition("unit").sortWithinPartitions("unit", "group"), finished, schema)
 
 
-def finish(scored: DataFrame, counts: DataFrame, total: int, floor: float) -> DataFrame:
-    """Adds the exact counts of the rare words: each is joined with its count and summed up by row."""
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
+def finish(scored: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """The scores from the levels, and the exact counts of the rare words: each is joined with its
+    count and summed up by row."""
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for a, b, level, n in unpacked(batch.column(5)):
+                yield {k: batch.column(i)[a:b] for i, k in enumerate(("row", "doc_id", "held_out", "known", "logs"))} | {"n_tokens": n, "score": np.add.reduceat(model.log10(level, n), np.cumsum(n) - n)}
+
+    out = arrow_map(scored.select("row", "doc_id", "held_out", "known", "logs", "levels"), kernel, "row long, doc_id long, held_out boolean, known long, logs double, n_tokens long, score double")
     rare = scored.select("row", F.explode("rare").alias("h"))
     met = rare.join(counts, "h", "left").groupBy("row").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("rest"))
-    out = scored.drop("rare").join(met, "row", "left")
+    floor = model.total + 0.5 * (model.distinct + 1)
     base = F.col("logs") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(floor)))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    out = out.join(met, "row", "left")
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op2_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
