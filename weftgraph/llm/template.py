@@ -8,12 +8,17 @@ document and back. That finds items whose numbers and names were exchanged, and
 share a frame only. A document is contaminated by an item if consistent diagonals cover at least
 ``coverage`` of the item's windows.
 
-A window with fewer than ``literal`` plain words says too little as a template: it is compared by
-the words themselves, in items and documents alike, and fills no slots. The coverage of an item is
-the greater of the shares of its template windows and of all its windows. Items under ``width``
-words use one window over the whole item; an item without words matches nothing. Null texts are empty. Documents are told apart by (doc_id, 64-bit hash of the text),
-so null and repeated ids do not mix; a row for each such document and item is returned. Ties do not
-arise: all items that contaminate a document are reported. Empty tables give an empty result.
+Each window is also compared by its words themselves, lower-cased, which finds copies whose
+capitals were lost or added, so that their names are not seen as names; such a match maps each
+slot value of the item to itself. A window with fewer than ``literal`` plain words says too little as
+a template and is compared in this way only. The coverage of an item is the greater of the shares of
+its windows matched as templates, among those that have the plain words, and of all its windows
+matched either way. Items under ``width`` words use one window over the whole item; an item without
+words matches nothing. Null texts are empty; very long ones are handled whole, one at a time.
+Documents are told apart by (doc_id, 64-bit hash of the text), so null and repeated ids do not mix; a
+row for each such document and item is returned. Ties do not arise: all items that contaminate a
+document are reported. Empty tables give an empty result; other columns, whatever their names, do not
+matter and pass through ``drop_leaks`` unchanged.
 """
 
 from __future__ import annotations
@@ -78,18 +83,18 @@ class Template:
 
     def windows(self, width: int, literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First word and hash of each window within one text, and whether the hash is of the words
-        themselves, as too few of them are plain."""
-        h = rolling(self.hash, width)
-        last = np.repeat(self.first + self.count - width, self.count)[: len(h)]
+        themselves: of all windows that one, and of those with enough plain words the template's."""
+        words = rolling(self.value, width) ^ EXACT
+        last = np.repeat(self.first + self.count - width, self.count)[: len(words)]
         slots = np.concatenate(([0], np.cumsum(self.slot)))
-        plain = width - (slots[width:] - slots[:-width]) if len(h) else h
-        exact = plain < min(literal, width)
-        h = np.where(exact, rolling(self.value, width) ^ EXACT, h)
-        at = np.flatnonzero(np.arange(len(h)) <= last)
-        return at, h[at], exact[at]
+        plain = width - (slots[width:] - slots[:-width]) if len(words) else np.zeros(0, np.int64)
+        inner = np.arange(len(words)) <= last
+        at, frame = np.flatnonzero(inner), np.flatnonzero(inner & (plain >= min(literal, width)))
+        h = np.concatenate((words[at], rolling(self.hash, width)[frame]))
+        return np.concatenate((at, frame)), h, np.arange(len(h)) < len(at)
 
     def slots(self, at: np.ndarray, width: int, exact: np.ndarray) -> pa.Array:
-        """Values of the placeholders of each window, in order; none for an ``exact`` one."""
+        """Values of the placeholders of each window, in order; none if ``exact``."""
         at = at[:, None] + np.arange(width)
         filled = self.slot[at] & ~exact[:, None] if at.size else np.zeros(at.shape, bool)
         values = self.value[at][filled].view(np.int64)
@@ -109,7 +114,7 @@ def _item_windows(items: DataFrame, key: str, text: str, width: int, literal: in
                     continue
                 at, h, exact = t.windows(w, literal)
                 n = len(at)
-                yield {"h": h.view(np.int64), "width": [w] * n, "item_id": [item] * n, "place": at, "exact": exact, "n": [n] * n, "framed": [n - int(exact.sum())] * n, "item_slots": t.slots(at, w, exact)}
+                yield {"h": h.view(np.int64), "width": [w] * n, "item_id": [item] * n, "place": at, "exact": exact, "n": [int(exact.sum())] * n, "framed": [n - int(exact.sum())] * n, "item_slots": t.slots(at, w, exact & False)}
 
     rows = items.select(F.col(key).cast("long").alias("item_id"), utf8(text).alias("text"))
     return arrow_map(rows, kernel, "h long, width int, item_id long, place int, exact boolean, n int, framed int, item_slots array<long>")
@@ -170,7 +175,8 @@ def leaks(
     if distinct.count() <= most_broadcast:
         wanted = spark.sparkContext.broadcast(np.sort(distinct.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
     hits = _text_windows(docs, key, text, widths, literal, wanted).join(known, "h")
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("text_slots").alias("t"))
+    # Words matched as they are stand for themselves.
+    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.when(F.col("exact"), F.col("item_slots")).otherwise(F.col("text_slots")).alias("t"))
     diagonal = hits.groupBy("doc_id", "tag", "item_id", (F.col("at") - F.col("place")).alias("shift"), "width").agg(
         F.collect_set("place").alias("places"),
         F.collect_set(F.when(~F.col("exact"), F.col("place"))).alias("frames"),
@@ -204,5 +210,8 @@ def op8_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents contaminated by a benchmark item go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")), "left_anti").select(docs.columns)
+    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.struct("doc_id", "tag").alias("key")).distinct()
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = lambda c: rows["key"][c].eqNullSafe(found["key"][c])
+    return rows.join(found, same("doc_id") & same("tag"), "left_anti").select("row.*")
