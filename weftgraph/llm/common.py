@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.lineage import cut
 
-__all__ = ["arrow_map", "chunks", "cut", "remainder", "slices", "table", "utf8"]
+__all__ = ["arrow_map", "chunks", "cut", "remainder", "slices", "table", "tags", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def tags(column: str) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a text, ``t1`` and ``t2``, by which equal texts are told."""
+    return F.xxhash64(column).alias("t1"), F.xxhash64(F.lit(1), F.col(column)).alias("t2")
+
+
 def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts holding about ``most`` bytes (one text at least)."""
     begin, held = 0, 0

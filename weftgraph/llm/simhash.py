@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, cut, table, utf8
+from weftgraph.llm.common import arrow_map, cut, table, tags, utf8
 from weftgraph.operators.stars import star_components
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -60,14 +60,15 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)``, the fingerprint as a signed long; one row for each input row."""
+    """``(doc_id, t1, t2, fp)``, the fingerprint as a signed long and 128 bits of the text; one row
+    for each input row."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), width, seed) for t in batch.column(1)]
-            yield {"doc_id": batch.column(0), "fp": np.array(found, np.uint64).view(np.int64)}
+            found = [fingerprint(t.as_py(), width, seed) for t in batch.column(3)]
+            yield {"doc_id": batch.column(0), "t1": batch.column(1), "t2": batch.column(2), "fp": np.array(found, np.uint64).view(np.int64)}
 
-    return arrow_map(docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")), kernel, "doc_id long, fp long")
+    return arrow_map(docs.select(F.col(key).cast("long").alias("doc_id"), *tags(text), utf8(text).alias("text")), kernel, "doc_id long, t1 long, t2 long, fp long")
 
 
 def block_masks(free: int, blocks: int, distance: int) -> list[int]:
@@ -147,9 +148,10 @@ def _meet(keyed: DataFrame, distance: int, limit: int, work: int = 1 << 22) -> D
     """``(mask, a, b)``: a link between fingerprints a and b, or, for a group over ``limit`` rows,
     a row with a null b for each of its fingerprints."""
 
-    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Whole groups, as many at a time as ``work`` allows; of a large one, pieces."""
-        mask, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, int] | None]]:
+        """Whole groups, as many at a time as ``work`` allows; of a large one, pieces. With each,
+        the mask and bits of the group that was cut last, whose rows all count as too many."""
+        mask, fp, torn = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 mask = np.concatenate((mask, batch.column(0).to_numpy()))
@@ -160,19 +162,23 @@ def _meet(keyed: DataFrame, distance: int, limit: int, work: int = 1 << 22) -> D
             begins = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (group[1:] != group[:-1]))))
             whole = begins[-1] if batch is not None else len(mask)
             if whole > work // 64 or batch is None or whole == 0 and len(mask) > work:
-                whole = whole or len(mask)
-                yield mask[:whole], fp[:whole]
+                if not whole:
+                    whole, torn = len(mask), (int(mask[0]), int(group[0]))
+                yield mask[:whole], fp[:whole], torn
                 mask, fp = mask[whole:], fp[whole:]
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        for mask, fp in runs(batches):
+        for mask, fp, torn in runs(batches):
             group = mask & fp
             begins = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (group[1:] != group[:-1]))))
             size = np.diff(np.concatenate((begins, [len(mask)])))
-            over = np.repeat(size > limit, size)
+            large = size > limit
+            if torn is not None:
+                large |= (mask[begins] == torn[0]) & (group[begins] == torn[1])
+            over = np.repeat(large, size)
             if over.any():
                 yield {"mask": mask[over], "a": fp[over], "b": pa.nulls(int(over.sum()), pa.int64())}
-            some = np.repeat((size > 1) & (size <= limit), size)
+            some = np.repeat((size > 1) & ~large, size)
             run = np.repeat(np.arange(len(size)), size)[some]
             m, x = mask[some], fp[some].view(np.uint64)
             order = np.lexsort((gray_rank(x), run))
@@ -192,7 +198,7 @@ def _meet(keyed: DataFrame, distance: int, limit: int, work: int = 1 << 22) -> D
     return arrow_map(placed, kernel, "mask long, a long, b long")
 
 
-def links(distinct: DataFrame, distance: int = 3, blocks: int = 5, limit: int = 2048) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 3, blocks: int = 5, limit: int = 2048, work: int = 1 << 22) -> DataFrame:
     """``(a, b)``: a spanning forest, key by key, of the pairs of distinct fingerprints ``fp``
     that differ in at most ``distance`` bits. ``blocks`` must exceed ``distance``."""
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -200,7 +206,7 @@ def links(distinct: DataFrame, distance: int = 3, blocks: int = 5, limit: int =
     rows = distinct.select("fp", F.explode(fan).alias("mask"))
     found = None
     while True:
-        met = cut(_meet(rows.withColumn("part", F.col("mask").bitwiseAND(F.col("fp"))), distance, limit))
+        met = cut(_meet(rows.withColumn("part", F.col("mask").bitwiseAND(F.col("fp"))), distance, limit, work))
         new = met.filter("b IS NOT NULL").select("a", "b")
         found = new if found is None else found.unionByName(new)
         over = met.filter("b IS NULL").select("mask", F.col("a").alias("fp"))
@@ -230,14 +236,14 @@ def _longer(distance: int):
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)``: every row with the least doc_id reachable over links."""
+    """``(doc_id, t1, t2, fp, root, component_id)``: every row with the least doc_id reachable over
+    links; ``root`` names its group, also where no row of it has a doc_id."""
     marked = cut(fingerprints(docs, key, text, width))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = star_components(links(distinct.select("fp"), distance), "a", "b")
-    linked = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    linked = cut(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp")))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(linked.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "t1", "t2", "fp", "root", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,8 +252,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates, the document with the least doc_id stays
-    (all rows of that doc_id, were it repeated; rows without a doc_id stay)."""
+    """Pipeline stage: of each group of near-duplicates one row stays, that with the least doc_id
+    (rows without one come last), then with the least hash of the text. Rows are told apart by
+    doc_id and 128 bits of the text, so a row of other words under a repeated doc_id is judged by
+    itself; of rows that repeat both one stays. All texts without words are one group."""
     found = near_duplicates(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("first")
+    stay = found.groupBy("root").agg(first).select(F.struct("first.doc_id", "first.t1", "first.t2").alias("key"))
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *tags("text")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = lambda c: rows["key"][c].eqNullSafe(stay["key"][c])
+    kept = rows.join(stay.hint("shuffle_hash"), same("doc_id") & same("t1") & same("t2"), "left_semi")
+    return kept.dropDuplicates(["key"]).select("row.*")
