@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, size int, tag string, start int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, size int, tag string, start int, `_id` int, `_ranges` string, `row` int, `key` string, `_text` string"
 
 
 def sentence(r: random.Random, n: int) -> str:
@@ -25,8 +25,8 @@ def rows():
             t = texts[-1] + " extra"
         texts.append(t)
     texts += [None, "", " \t\n ", "one", "one two", "ÉÈ ü x 日本", "ab " * 3000, sentence(r, 6000), "BM GIF89a RIFF %PDF-1.4 PK\x03\x04"]
-    out = [(i, t, "en", ["a", "b", None, "é"][i % 4] if i % 3 else "hot", 7, i, "x", 1, "t", 2) for i, t in enumerate(texts)]
-    return out + [out[3], (3, "another text under the same id", "en", "a", 1, 1, "x", 1, "t", 2), (None, "a row without an id", None, None, None, None, None, None, None, None)]
+    out = [(i, t, "en", ["a", "b", None, "é"][i % 4] if i % 3 else "hot", 7, i, "x", 1, "t", 2, 0, "r", 5, "k", "y") for i, t in enumerate(texts)]
+    return out + [out[3], (3, "another text under the same id", "en", "a", 1, 1, "x", 1, "t", 2, 0, "r", 5, "k", "y"), (None, "a row without an id", *[None] * 13)]
 
 
 @pytest.fixture(scope="session")

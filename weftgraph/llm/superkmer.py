@@ -4,7 +4,9 @@ A window is ``width`` consecutive words. The minimiser of a window is the least
 ``mer``-word pieces; consecutive windows with the same minimiser form a super-k-mer, which travels
 as one packed string (its words) to the bucket of that minimiser, so a window costs about three
 words of traffic instead of thirteen, and equal windows always meet in one bucket. There windows
-are sorted and compared byte for byte, and the least doc_id of each is found.
+are sorted and compared byte for byte, and the least doc_id of each is found. Pieces of four words
+are rare but in repeated passages, which travel merged, so that no minimiser is hot; the number of
+buckets follows the number of shuffle partitions.
 
 Equal super-k-mers of a task are merged before they travel. Where a task has more than ``inline``
 places for one of them, only the least doc_id goes to the bucket; the places wait in rows of their
@@ -15,7 +17,9 @@ Results: words covered by a window that also starts in a document with a smaller
 A null text has no words; a row with a null doc_id neither loses words nor makes others lose any.
 Rows that repeat a doc_id are one document, though their texts are judged row by row (rows with
 the same doc_id are told apart by a 64-bit hash of the text). Texts under ``width`` words keep
-all. An empty table gives an empty result; other columns pass through ``dedup_text`` unchanged.
+all; very long ones are handled whole, one at a time. Bytes that are no UTF-8 are kept as they are
+in the windows and replaced in the text of ``dedup_text``. An empty table gives an empty result; other
+columns, whatever their names, pass through ``dedup_text`` unchanged.
 """
 
 from __future__ import annotations
@@ -273,10 +277,10 @@ def _answered(width: int):
 RANGES = "id long, tag long, start int, end int"
 
 
-def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, mer: int = 2, inline: int = 16) -> DataFrame:
+def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, mer: int = 4, inline: int = 16) -> DataFrame:
     """``(id, tag, start, end)``: word ranges of a document, which may overlap, covered by windows
     that also start in a document with a smaller id. ``tag``: see :func:`tagged`."""
-    buckets = max(512, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = tagged(docs, key, text).filter("id IS NOT NULL").select("id", "tag", utf8(text).alias("text"))
     sent = arrow_map(rows, _send(width, mer, buckets, inline, 16 << 20), "bucket int, kind int, digest binary, blob binary")
     placed = sent.repartition("bucket").sortWithinPartitions("bucket")
@@ -304,10 +308,11 @@ def kept_words(text: bytes, ranges) -> tuple[list[bytes], int]:
 
 
 def with_ranges(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with an array column ``_ranges`` of what :func:`repeated_ranges` found (or null)."""
-    by = found.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("start", "end")).alias("_ranges")).hint("shuffle_hash")
-    left = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_tag", F.xxhash64(text))
-    return left.join(by, ["_id", "_tag"], "left").drop("_id", "_tag")
+    """``(row, ranges)``: the rows as structs, with what :func:`repeated_ranges` found (or null)."""
+    by = found.groupBy(F.struct("id", "tag").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("ranges")).hint("shuffle_hash")
+    left = docs.select(F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tag")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = (left["key"]["id"] == by["of"]["id"]) & (left["key"]["tag"] == by["of"]["tag"])
+    return left.join(by, same, "left").select("row", "ranges")
 
 
 def op10_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +329,7 @@ def op10_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield {"doc_id": batch.column(0), "n_words": n, "n_removed": gone, "kept_sha256": sha}
 
     joined = with_ranges(docs, repeated_ranges(docs), "doc_id", "text")
-    return arrow_map(joined.select("doc_id", utf8("text"), "_ranges"), kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return arrow_map(joined.select("row.doc_id", utf8("row.text"), "ranges"), kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -334,19 +339,14 @@ def dedup_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def rest(text, ranges):
-        return text.combine(ranges, lambda t, r: b" ".join(kept_words((t or "").encode(), r)[0]).decode())
-
-    touched = F.col("_ranges").isNotNull()
-    changed = joined.withColumn("_text", F.when(touched, rest("text", "_ranges")).otherwise(F.col("text")))
-    columns = []
-    for c, kind in docs.dtypes:
-        if c == "text":
-            columns.append(F.col("_text").alias(c))
-        elif c == "n_chars":
-            columns.append(F.when(touched, F.length("_text").cast(kind)).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return changed.select(*columns)
+        return text.combine(ranges, lambda t, r: None if t is None else b" ".join(kept_words(t.encode(), r)[0]).decode("utf-8", "replace"))
+
+    touched = F.col("ranges").isNotNull()
+    changed = joined.withColumn("kept", rest(F.when(touched, F.col("row.text")), "ranges"))  # the other texts do not go through Python
+    new = {"text": F.when(touched, F.col("kept")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(touched, F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("row.n_chars"))
+    return changed.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
