@@ -271,14 +271,22 @@ def test_mixing(docs, rows):
             target[s] = 3 * size[s]
             left -= 3 * size[s]
             live.remove(s)
-    taken = defaultdict(int)
+    taken, longest = defaultdict(int), defaultdict(int)
     for r in got:
         assert r["source_size"] == size[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]])
-        assert 0 <= r["copies"] <= 3
         rate = r["target"] / r["source_size"] if r["source_size"] else 0
-        assert math.floor(rate - 1e-6) <= r["copies"] <= math.ceil(rate + 1e-6)
-        taken[r["source"]] += r["copies"] * sum(r["sizes"])
-    assert sum(len(r["sizes"]) for r in got) == len(rows)
+        assert math.floor(rate - 1e-6) <= r["copies"] <= min(3, math.ceil(rate + 1e-6))
+        taken[r["source"]] += r["copies"] * r["size"] * r["n"]
+        longest[r["source"]] = max(longest[r["source"]], r["size"] * r["n"])
+    assert all(abs(taken[s] - target[s]) <= longest[s] + 1 for s in size)
+    assert sum(r["n"] for r in got) == len(rows)
+
+
+def test_mixing_query_and_stage_agree(spark, docs, folder, rows):
+    got = mixing.op5_mixing(spark, folder).collect()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(r[0]), len(split(r[1]))) for r in rows)
+    mixed = mixing.mix_sources(spark, docs, folder).collect()
+    assert sum(r["copies"] for r in got) == len(mixed) and sum(r["taken"] for r in got) == sum(len(split(r["text"])) for r in mixed)
 
 
 def test_mixing_of_nothing(nothing, spark):

@@ -1,22 +1,25 @@
 """Mixing sources to target weights by systematic sampling.
 
 A source's expected number of copies for each of its documents is target / size. Expected copies
-are summed along the documents of a source, in the order of a hash of the doc_id, one offset per
-source in [0, 1) is added, and a document is emitted once for each integer boundary that its interval
-crosses. Sizes differ much, so ``draws`` random offsets are tried and the one whose words come
-nearest to the target is used. All sums are
-of integers (2**-24 copies), so their order does not matter and reruns agree.
-
-The prefix sum is distributed: documents are range-partitioned by (source, hash, doc_id), which
+are summed along the documents of a source, the longest first and equal ones by doc_id, one random
+offset in [0, 1) is added for each source (from a hash of its name, so that reruns agree), and a document is
+emitted once for each integer boundary that its interval crosses. In the order of sizes, the words
+taken from documents of about one size are near their share, so a source misses its target by about
+the words of its longest document. All sums are of integers (2**-24 copies), so their order does not
+matter.
+
+The prefix sum is distributed: documents are range-partitioned by (source, size, doc_id), which
 cuts a hot source into many ranges, ranges are summed, and each range starts from the total of
 those before it. No task holds a source.
 
 Sizes are numbers of words. A null text has size 0. Sources are ordered by code point, a null
 source last, and weigh 1, 2, 3, repeating; a target above ``most`` times its source's size is
 lowered to that and the rest is shared again by weight, which is water-filling and is solved in
-closed form over the sources. Rows that repeat a doc_id within a source are one unit: each of
-them is taken as often. A source whose texts have no words gets target 0 and no copies. An empty
-table gives an empty result. Other columns do not matter to ``allot``.
+closed form over the sources. Rows that repeat source, doc_id and text are one unit of all their
+words, found by partial counts: each of them is taken as often. Rows of one doc_id, or of none, with
+different texts are units of their own. A source whose texts have no words gets target 0 and no
+copies. Very long texts count whole. An empty table gives an empty result. Other columns, whatever
+their names, do not matter and pass through ``mix_sources`` unchanged, but for ``copy``.
 """
 
 from __future__ import annotations
@@ -27,21 +30,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, cut, table, utf8
+from weftgraph.llm.common import arrow_map, cut, table, tags, utf8
 
 ONE = 1 << 24
 
 
 def sized(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``(doc_id, source, size)``; size: number of ``[^\\x20\\x09-\\x0D]+``."""
+    """``(doc_id, source, t1, t2, size)``; t1 and t2 stand for the text, size: number of ``[^\\x20\\x09-\\x0D]+``."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            sizes = [len(t.as_py().split()) for t in batch.column(2)]
-            yield {"doc_id": batch.column(0), "source": batch.column(1), "size": sizes}
+            sizes = [len(t.as_py().split()) for t in batch.column(4)]
+            yield {k: batch.column(i) for i, k in enumerate(("doc_id", "source", "t1", "t2"))} | {"size": sizes}
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), utf8(text).alias("text"))
-    return arrow_map(rows, kernel, "doc_id long, source string, size long")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), *tags(text), utf8(text).alias("text"))
+    return arrow_map(rows, kernel, "doc_id long, source string, t1 long, t2 long, size long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -64,60 +67,54 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     return filled.select("source", "source_size", F.when(F.col("open"), F.col("water") * F.col("weight")).otherwise(F.col("ceiling")).alias("target"))
 
 
-def allot(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix", draws: int = 32) -> DataFrame:
-    """``(doc_id, source, sizes, source_size, target, copies)``: one row for each doc_id of a
-    source; ``sizes`` are those of its rows."""
+KEY = ("doc_id", "source", "t1", "t2")
+
+
+def allot(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
+    """``(doc_id, source, t1, t2, n, size, source_size, target, copies)``: one row for each unit,
+    of ``n`` equal rows with ``size`` words each."""
     spark = sizes.sparkSession
-    sizes = cut(sizes)
     goal = targets(sizes, weights, most)
-    unit = sizes.groupBy("source", "doc_id").agg(F.sum("size").alias("size"), F.collect_list("size").alias("sizes"))
+    unit = sizes.groupBy(*KEY).agg(F.first("size").alias("size"), F.count("*").alias("n")).withColumn("fewer", -F.col("size") * F.col("n"))
+    order = ["fewer", "doc_id", "t1", "t2"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(unit.withColumn("place", F.xxhash64("doc_id")).repartitionByRange(parts, "source", "place", "doc_id").withColumn("part", F.spark_partition_id()))
+    ranged = cut(unit.repartitionByRange(parts, "source", *order).withColumn("part", F.spark_partition_id()))
     share = F.when(F.col("source_size") > 0, F.floor(F.col("target") * ONE / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.select(F.col("source").alias("s"), "source_size", "target", share.alias("share"))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("null")))), 1, 6)
+    goal = goal.select(F.col("source").alias("s"), "source_size", "target", share.alias("share"), F.conv(digits, 16, 10).cast("long").alias("offset"))
     range_ = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counted = ranged.groupBy("source", "part").agg(F.count("*").alias("n"))
-    start = (
-        counted.join(goal, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("start", F.coalesce(F.sum(F.col("n") * F.col("share")).over(range_), F.lit(0)))
-        .select("s", F.col("part").alias("p"), "source_size", "target", "share", "start")
+    counted = ranged.groupBy("source", "part").agg(F.count("*").alias("m"))  # a row for each source of each range
+    start = counted.join(goal, F.col("source").eqNullSafe(F.col("s"))).select(
+        "s", F.col("part").alias("p"), "source_size", "target", "share", (F.col("offset") + F.coalesce(F.sum(F.col("m") * F.col("share")).over(range_), F.lit(0))).alias("start")
     )
     placed = ranged.join(start, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    along = Window.partitionBy("part", "s").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = cut(
-        placed.withColumn("upto", F.col("start") + F.sum("share").over(along)).select(
-            "source", "doc_id", "size", "sizes", "source_size", "target", "share", "upto"
-        )
-    )
-
-    def drawn(j: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(f"{seed}/{j}"), F.coalesce("source", F.lit("\0"))), F.lit(ONE))
+    along = Window.partitionBy("part", "s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("start") + F.sum("share").over(along)
+    crossed = F.shiftright(end, 24) - F.shiftright(end - F.col("share"), 24)
+    return placed.select(*KEY, "n", "size", "source_size", "target", crossed.cast("int").alias("copies"))
 
-    def crossed(offset: Column) -> Column:
-        end = F.col("upto") + offset
-        return F.shiftright(end, 24) - F.shiftright(end - F.col("share"), 24)
 
-    words = [F.sum(crossed(drawn(j)) * F.col("size")).alias(f"w{j}") for j in range(draws)]
-    tried = upto.groupBy("source").agg(F.first("target").alias("t"), *words)
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{j}") - F.col("t")).alias("off"), F.lit(j).alias("j"), drawn(j).alias("offset")) for j in range(draws)]))
-    picked = tried.select(F.col("source").alias("s"), best["offset"].alias("offset"))
-    done = upto.join(picked, F.col("source").eqNullSafe(F.col("s")))
-    return done.select("doc_id", "source", "sizes", "source_size", "target", crossed(F.col("offset")).cast("int").alias("copies"))
+def same_unit(a: DataFrame, b: DataFrame) -> Column:
+    """Joins rows with their units, keyed by structs ``key`` and ``of``."""
+    on = [a["key"][c].eqNullSafe(b["of"][c]) for c in KEY]
+    return on[0] & on[1] & on[2] & on[3]
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = allot(sized(table(spark, sf_dir, "documents")))
-    rows = got.select("doc_id", F.explode("sizes").alias("size"), "source_size", "target", "copies")
-    return rows.withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    sizes = cut(sized(table(spark, sf_dir, "documents")))
+    got = allot(sizes).select(F.struct(*KEY).alias("of"), "source_size", "target", "copies")
+    rows = sizes.select(F.struct(*KEY).alias("key"), "size")
+    found = rows.join(got.hint("shuffle_hash"), same_unit(rows, got))
+    return found.select("key.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, with ``copy`` counting from 1
     (a column of that name in the input is replaced)."""
-    got = allot(sized(docs)).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(got.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"))
+    got = allot(cut(sized(docs))).filter("copies > 0").select(F.struct(*KEY).alias("of"), "copies")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *tags("text"))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"]).alias("row"))
+    return rows.join(got.hint("shuffle_hash"), same_unit(rows, got)).select("row.*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
 
 ORACLE = r"""
@@ -136,6 +133,13 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN ceiling > level * weight
     THEN weight * (SELECT arg_min(l.level, l.ceiling / l.weight) FROM leveled l WHERE l.ceiling > l.level * l.weight) ELSE ceiling END AS target
   FROM leveled
+), shared AS (
+  SELECT doc_id, size, s.source, source_size, target,
+    CASE WHEN source_size > 0 THEN floor(target * 16777216 / source_size)::BIGINT ELSE 0 END AS share,
+    ('0x' || substr(md5('mix/' || coalesce(s.source, 'null')), 1, 6))::BIGINT AS shift
+  FROM sized s JOIN goals ON s.source IS NOT DISTINCT FROM goals.source
+), placed AS (
+  SELECT *, shift + sum(share) OVER (PARTITION BY source ORDER BY size DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS upto FROM shared
 )
-SELECT doc_id, size, source_size, target FROM sized JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source
+SELECT doc_id, size, source_size, target, ((upto >> 24) - ((upto - share) >> 24)) * size AS taken, ((upto >> 24) - ((upto - share) >> 24))::INT AS copies FROM placed
 """

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_viterbi": viterbi.op9_viterbi,
     "op10_superkmer": superkmer.op10_superkmer,
 }
-ORACLES: dict[str, str] = {"op10_superkmer": superkmer.ORACLE}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op10_superkmer": superkmer.ORACLE}

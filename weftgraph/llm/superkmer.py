@@ -329,7 +329,7 @@ def op10_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield {"doc_id": batch.column(0), "n_words": n, "n_removed": gone, "kept_sha256": sha}
 
     joined = with_ranges(docs, repeated_ranges(docs), "doc_id", "text")
-    return arrow_map(joined.select("row.doc_id", utf8("row.text"), "ranges"), kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return arrow_map(joined.select("row.doc_id", utf8("row.text").alias("text"), "ranges"), kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
