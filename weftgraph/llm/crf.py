@@ -14,13 +14,14 @@ and messages filled in: exact, and vectorised whatever the lengths.
 Training tokens: labels are of documents, so a token is labelled toxic if its document is and the
 word, or one of its beginnings, is tied to toxic documents beyond chance (log-likelihood ratio
 over the logarithm of the number of words seen; what clean documents hold as well is not). The sample is bounded:
-the ``sample`` labelled rows with the least hash of their doc_id, whole, as far as their tokens
-stay under ``most`` in total. Weights are trained by numpy (Adagrad) on the driver.
+the ``sample`` labelled doc_ids with the least hash, each with one row (the text with the least
+hash, were the doc_id repeated) and whole, those left out that would bring the tokens beyond
+``most`` in total. Weights are trained by numpy (Adagrad) on the driver.
 
 Null texts are empty; an empty text has the score of a text without toxic tokens. Of labels for
 one doc_id the majority counts, none on a tie; null labels and null doc_ids do not. Without
 labelled rows of both kinds no token is toxic and scores are the share of toxic rows (0.5 with
-none at all). Repeated rows are scored each; empty tables give empty results; other columns do
+none at all). Very long texts are handled whole, one at a time. Repeated rows are scored each; empty tables give empty results; other columns do
 not matter.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import arrow_map, chunks, cut, remainder, table, utf8
-from weftgraph.llm.subword import labelled
+from weftgraph.llm.subword import labelled, sampled, within
 from weftgraph.llm.vectext import U64, Words, spans, stripped
 
 BITS = 18
@@ -216,37 +217,29 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 40, ridge: float = 1e-2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str, held: Column, sample: int = 3000, most: int = 1_500_000, key: str = "doc_id", text: str = "text") -> Field:
-    chosen = cut(labelled(labels, column, held, sample))
-    # At most ``sample`` rows of two numbers: fit to broadcast.
-    joined = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    joined = sampled(docs, cut(labelled(labels, column, held, sample)), key, text)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in chunks(texts):
                 h, n = observations(texts[a:b])
                 ends = np.cumsum(n)
                 hashes = [h[:, x:y].tobytes() for x, y in zip(ends - n, ends, strict=True)]
-                yield {"doc_id": batch.column(0)[a:b], "label": batch.column(2)[a:b], "n": n, "hashes": hashes}
-
-    seen = arrow_map(joined, kernel, "doc_id long, label int, n long, hashes binary")
-    # The longest texts leave the sample, whole, until its tokens fit: a bound on what the driver gets.
-    sizes = cut(seen)
-    fits = sizes.select("n").toPandas()["n"].sort_values()
-    fits = fits[fits.cumsum() <= most]
-    longest = int(fits.iloc[-1]) if len(fits) else 0
-    got = sizes.filter(F.col("n") <= longest).toPandas().sort_values("doc_id", kind="stable")
+                yield {"doc_id": batch.column(0)[a:b], "label": batch.column(1)[a:b], "n": n, "hashes": hashes}
+
+    seen = cut(arrow_map(joined, kernel, "doc_id long, label int, n long, hashes binary"))
+    got = seen.filter(F.col("doc_id").isin(within(seen, most))).toPandas().sort_values("doc_id", kind="stable")
     return train([(np.frombuffer(h, U64).reshape(len(KINDS), -1), int(y)) for h, y in zip(got["hashes"], got["label"], strict=True)])
 
 
 def offsets(text: bytes, which: list[int]) -> list[tuple[int, int]]:
-    """Character offsets of the words with the given numbers."""
-    wanted, out = set(which), []
-    for i, m in enumerate(WORD.finditer(text)):
-        if i in wanted:
-            start = len(text[: m.start()].decode())
-            out.append((start, start + len(m[0].decode())))
-    return out
+    """Character offsets of the words with the given numbers. A character begins at each byte that
+    continues none."""
+    data = np.frombuffer(text, np.uint8)
+    before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    spans_ = [(m.start(), m.end()) for m in WORD.finditer(text)]
+    return [(int(before[spans_[i][0]]), int(before[spans_[i][1]])) for i in which]
 
 
 def tag(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,15 +5,17 @@ and character n-grams (over code points, within the white-space-padded text), ha
 softmax over the average gives the class. Vectors and softmax weights are trained together by
 stochastic gradient descent in numpy on the driver.
 
-Training uses a bounded sample: the ``sample`` labelled rows with the least hash of their doc_id,
-each whole. Executors turn them into (bucket, weight) rows, at most ``buckets`` for a document. The
+Training uses a bounded sample: the ``sample`` labelled doc_ids with the least hash, each with one
+row (the text with the least hash, were the doc_id repeated) and whole, those left out that would
+bring the features beyond ``most`` (see :func:`within`). Executors turn them into (bucket, weight)
+rows, at most ``buckets`` for a document, and only the rows within the bound go to the driver. The
 model is a table of ``buckets`` x ``dim`` floats whatever the input's size. As the softmax of two
 classes depends on the difference of their scores only, and that is linear in the average, the
 table is folded into one float for each bucket (256 KB) before it is broadcast for scoring.
 
 Labels: rows with a null doc_id or label do not count; a doc_id labelled more than once has the
-label of the majority, none on a tie. Of rows that repeat a doc_id each counts as an example. Null
-texts are empty; an empty text has the class prior's score. Without any usable label all scores
+label of the majority, none on a tie. Null texts are empty; an empty text has the class prior's
+score. Very long texts are handled whole, one at a time. Without any usable label all scores
 are 0.5; with one class only, the score tends to that class. An empty table gives an empty result;
 other columns do not matter.
 """
@@ -77,6 +79,25 @@ def labelled(labels: DataFrame, column: str, held: Column, sample: int) -> DataF
     return fine.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
+def sampled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """``(doc_id, label, text)``: one row for each chosen doc_id that has any. ``chosen`` is a
+    bounded sample, fit to broadcast; of repeated rows each task sends one at most."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
+def within(sizes: DataFrame, most: int) -> list[int]:
+    """doc_ids of sampled rows ``(doc_id, n)``, in the order of a hash, as long as their sizes stay
+    under ``most`` in all; what does not fit is passed over for what comes after it."""
+    rows = sizes.select("doc_id", "n", F.xxhash64("doc_id").alias("h")).collect()  # a bounded sample
+    total, fine = 0, []
+    for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"])):
+        if total + r["n"] <= most:
+            total += r["n"]
+            fine.append(r["doc_id"])
+    return fine
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, dim: int = 8, epochs: int = 8, rate: float = 4.0, seed: int = 7) -> np.ndarray:
     """Score difference of the two classes for each bucket, and a bias at the end.
 
@@ -109,24 +130,23 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS
     return np.append(vectors @ difference, bias[1] - bias[0]).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str, held: Column, sample: int = 6000, key: str = "doc_id", text: str = "text", **how) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, column: str, held: Column, sample: int = 6000, most: int = 12_000_000, key: str = "doc_id", text: str = "text", **how) -> np.ndarray:
     """Folded weights from labelled documents outside ``held`` (a condition on doc_id)."""
-    chosen = cut(labelled(labels, column, held, sample))
-    # At most ``sample`` rows of two numbers: fit to broadcast.
-    joined = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    joined = sampled(docs, cut(labelled(labels, column, held, sample)), key, text)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             at, weight = [], []
             for t in texts:
                 h, _ = features([t])
                 b, n = np.unique(h, return_counts=True)
                 at.append(b.astype(np.int32).tobytes())
                 weight.append((n / max(1, n.sum())).astype(np.float32).tobytes())
-            yield {"doc_id": batch.column(0), "label": batch.column(2), "at": at, "weight": weight}
+            yield {"doc_id": batch.column(0), "label": batch.column(1), "n": [len(x) // 4 for x in at], "at": at, "weight": weight}
 
-    got = arrow_map(joined, kernel, "doc_id long, label int, at binary, weight binary").toPandas().sort_values("doc_id", kind="stable")
+    seen = cut(arrow_map(joined, kernel, "doc_id long, label int, n long, at binary, weight binary"))
+    got = seen.filter(F.col("doc_id").isin(within(seen, most))).toPandas().sort_values("doc_id", kind="stable")
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float32), int(y)) for y, a, w in zip(got["label"], got["at"], got["weight"], strict=True)]
     return train(rows, **how)
 
