@@ -13,7 +13,8 @@ worker; the rest is computed again). Null and empty texts have no tokens; words
 searched whole, in linear memory; repeated rows are counted each; empty tables give empty results;
 other columns do not matter.
 
-The vocabulary is a public one, named by its path; nothing is trained. The file holds the pieces
+The vocabulary is a public one, named by its path; nothing is trained. Control, unknown and byte
+pieces (``</s>``, ``<0x41>``) stand for no text and are not looked for. The file holds the pieces
 of a merge-based tokenizer in order of rank, without probabilities, so that a piece's score is set
 by rule, -log(rank + 2), as for words under Zipf's law.
 """
@@ -21,6 +22,7 @@ by rule, -log(rank + 2), as for words under Zipf's law.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from math import inf, log
 
 import ahocorasick
@@ -34,25 +36,36 @@ MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
-    """Pieces and scores, in the order of ids; read on the driver."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """Pieces of text with their scores, in the order of ids; the score of an unknown character,
+    and whether it falls back to bytes."""
+
+    pieces: tuple[tuple[str, float], ...]
+    unknown: float
+    by_byte: bool = False
+
+
+def vocabulary(path: str = VOCABULARY) -> Vocabulary:
+    """Read on the driver."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), -log(i + 2)) for i in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    text = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    return Vocabulary(tuple((model.id_to_piece(i), -log(i + 2)) for i in text), -log(len(ids) + 1) - 10.0, sum(map(model.is_byte, ids)) == 256)
 
 
 class Counter(dict):
     """Number of tokens of a word (bytes), computed at the first call for it."""
 
-    def __init__(self, pieces: list[tuple[str, float]], memory: int = 400_000):
+    def __init__(self, known: Vocabulary, memory: int = 400_000):
         self.memory = memory
         self.machine = ahocorasick.Automaton()
-        for piece, score in pieces:
+        for piece, score in known.pieces:
             self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
-        self.unknown = min(score for _, score in pieces) - 10.0
-        self.bytes = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
+        self.unknown, self.bytes = known.unknown, known.by_byte
 
     def __missing__(self, word: bytes) -> int:
         n = self.count(MARK + word.decode("utf-8", "replace"))
@@ -109,12 +122,12 @@ class Counter(dict):
 _counters: dict[int, Counter] = {}
 
 
-def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, known: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_words, n_tokens)``."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        which = hash(tuple(shared.value))  # a worker keeps its words between tasks
+        which = hash(shared.value)  # a worker keeps its words between tasks
         if which not in _counters:
             _counters.clear()
             _counters[which] = Counter(shared.value)
