@@ -323,19 +323,39 @@ def test_sniffing_finds_and_carves():
     assert media.sniff(png()[:-1]) == [] and media.sniff(png().replace(b"IDAT", b"IDAU")) == []
 
 
+def test_sniffing_is_linear_in_repeated_magic_bytes():
+    import time
+
+    seconds = []
+    for n in (20_000, 80_000):
+        blob = b"%PDF-1.4 PK\x03\x04\xff\xd8\xff\xe0\x00\x02\xff\xda\x00\x02" * n
+        start = time.perf_counter()
+        assert media.sniff(blob) == []
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 12 * max(seconds[0], 0.02)
+
+
+def test_jpeg_is_found_to_its_end_mark():
+    head = b"\xff\xd8\xff\xc0\x00\x0b\x08\x00\x05\x00\x07\x01\x01\x11\x00"
+    image = head + b"\xff\xda\x00\x02ab\xff\x00c\xff\xd0d\xff\xd9"
+    assert media.sniff(b"x" + image + b"y") == [media.Medium("image/jpeg", 1, len(image), "width=7;height=5")]
+    assert media.sniff(image[:-2]) == [] and media.sniff(b"\xff\xd8\xff\xda\x00\x02ab\xff\xd9") == []
+
+
 def test_carving_a_column(spark):
     got = media.carve(spark.createDataFrame([(1, "text/plain", b"a" + GIF + GIF), (2, None, None)], "k long, declared string, blob binary"), "k", "blob", "declared").collect()
     assert [(r["key"], r["kind"], r["offset"], bytes(r["media"])) for r in got] == [("1", "image/gif", 1, GIF), ("1", "image/gif", 1 + len(GIF), GIF)]
 
 
 def test_media_round_trip(spark, folder, rows):
-    got = sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media.op6_media(spark, folder).collect())
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_bytes"], r["media_sha256"], r["feature"].split(";mean=")[1]) for r in media.op6_media(spark, folder).collect())
     want = []
     for i, t, *_ in rows:
         b = (t or "").encode()
         p = b + bytes(-len(b) % 64) if b else bytes(64)
-        want.append((str(i), len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
+        want.append((str(i), len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(p) + 44, hashlib.sha256(media.wave(p)).hexdigest(), media.figures(p).removeprefix("mean=")))
     assert got == sorted(want)
+    assert media.figures(bytes([0, 255] * 32)) == "mean=127.500;spread=127.500;crossings=63;peak=255;tone=32"
 
 
 # --- 7 toxicity ---
@@ -415,23 +435,45 @@ def test_counts_equal_the_tokenizer():
 
     r = random.Random(6)
     pieces = [("<unk>", -5.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("aba", -3.0), ("aa", -1.5), ("é", -1.0)]
-    mine, theirs = viterbi.Counter(pieces), Tokenizer(models.Unigram(pieces, 0, False))
+    mine, theirs = viterbi.Counter(viterbi.Vocabulary(tuple(pieces[1:]), -15.0)), Tokenizer(models.Unigram(pieces, 0, False))
     for _ in range(3000):
         w = "".join(r.choice("abxyé日") for _ in range(r.randint(1, 14)))
         assert mine.count(w) == len(theirs.encode(w).ids), w
-    pieces = viterbi.vocabulary()
-    mine, theirs = viterbi.Counter(pieces, memory=100), Tokenizer(models.Unigram(pieces, 0, True))
+    known = viterbi.vocabulary()
+    assert known.by_byte and all(p not in ("<unk>", "<s>", "</s>", "<0x41>") for p, _ in known.pieces)
+    # The least score belongs to the last id, so that unknown characters score alike.
+    other = [("<unk>", 0.0), *known.pieces, *((f"<0x{b:02X}>", 0.0) for b in range(256)), ("\ue000", known.unknown + 10.0)]
+    mine, theirs = viterbi.Counter(known, memory=100), Tokenizer(models.Unigram(other, 0, True))
     for _ in range(3000):
-        w = "".join(r.choice("theinorab 🙂é日<0x41>▁Q7") for _ in range(r.randint(1, 25))).replace(" ", "")
+        w = "".join(r.choice("theinorab 🙂é日0x41>▁Q7") for _ in range(r.randint(1, 25))).replace(" ", "")
         assert not w or mine[w.encode()] == len(theirs.encode(viterbi.MARK + w).ids), w
 
 
+def test_marks_of_control_and_bytes_are_plain_text():
+    known = viterbi.vocabulary()
+    of, scores = viterbi.Counter(known), dict(known.pieces)
+
+    def brute(text):
+        """Least number of pieces is not the aim: the best score, ties as they come from the left."""
+        best = [(0.0, 0)] + [(-math.inf, 0)] * len(text)
+        for e in range(1, len(text) + 1):
+            for b in range(e):
+                if text[b:e] in scores and best[b][0] + scores[text[b:e]] > best[e][0]:
+                    best[e] = (best[b][0] + scores[text[b:e]], best[b][1] + 1)
+            if not text[e - 1] in scores and best[e - 1][0] + known.unknown > best[e][0]:
+                best[e] = (best[e - 1][0] + known.unknown, best[e - 1][1] + len(text[e - 1].encode()))
+        return best[-1][1]
+
+    for word in ("</s>", "<s>", "<0x41>", "<unk>", "a</s>b"):
+        assert of[word.encode()] == brute(viterbi.MARK + word) > 2, word
+
+
 def test_token_counts_of_odd_rows(docs, rows, nothing):
-    pieces = viterbi.vocabulary()
-    of = viterbi.Counter(pieces)
-    got = sorted((str(r["doc_id"]), r["n_words"], r["n_tokens"]) for r in viterbi.token_counts(docs, pieces).collect())
+    known = viterbi.vocabulary()
+    of = viterbi.Counter(known)
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_tokens"]) for r in viterbi.token_counts(docs, known).collect())
     assert got == sorted((str(r[0]), len(split(r[1])), sum(of[w] for w in split(r[1]))) for r in rows)
-    assert viterbi.token_counts(nothing, pieces).count() == 0
+    assert viterbi.token_counts(nothing, known).count() == 0
 
 
 # --- 10 substring dedup ---

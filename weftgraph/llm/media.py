@@ -9,20 +9,25 @@ the longer wins.
 
 The query stores each text as a lossless medium: the payload (UTF-8 bytes, padded with zero bytes
 to a positive multiple of 64) becomes the 8-bit samples of a mono WAVE file, is put into a blob
-behind a few foreign bytes with a wrong declared type, and is found, retyped and read back by
-``sniff``. Everything is a function of the text alone. A null text is empty (64 zero bytes);
-repeated rows give repeated results; empty tables give empty results; other columns do not matter.
+behind foreign bytes (as many as the payload's checksum says) with a wrong declared type, and is
+found, retyped and read back by ``sniff``; ``feature`` holds what the format says and figures of the samples that were
+read back. Everything is a function of the text alone. A null text is empty (64 zero bytes); very
+long texts are handled whole, one at a time, in time linear in their length; repeated rows give
+repeated results; empty tables give empty results; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +43,49 @@ class Medium:
     detail: str
 
 
-def _wave(b: bytes, at: int) -> tuple[int, str] | None:
+SCAN = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
+class Marks:
+    """Where the end marks of a blob lie: each kind is looked up once, however many magic bytes
+    ask for it."""
+
+    def __init__(self, blob: bytes):
+        self.blob = blob
+        self.found: dict[bytes, list[int]] = {}
+        self.held: dict[int, tuple[int, int]] | None = None
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` from ``at`` on, or -1."""
+        if mark not in self.found:
+            self.found[mark] = [m.start() for m in re.finditer(re.escape(mark), self.blob)]
+        places = self.found[mark]
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def last(self, mark: bytes, begin: int, end: int) -> int:
+        """The last place of ``mark`` in a range, or -1."""
+        self.next(mark, 0)
+        places = self.found[mark]
+        i = bisect_left(places, end) - 1
+        return places[i] if i >= 0 and places[i] >= begin else -1
+
+    def archives(self) -> dict[int, tuple[int, int]]:
+        """ZIP archives by their first byte: end and number of entries, the first that fits."""
+        if self.held is None:
+            b, self.held = self.blob, {}
+            for m in re.finditer(rb"PK\x05\x06", b):
+                p = m.start()
+                if p + 22 > len(b):
+                    break
+                count, size, start, note = struct.unpack_from("<HIIH", b, p + 10)
+                at = p - size - start
+                if at >= 0 and p + 22 + note <= len(b) and (not count or b[at + start : at + start + 4] == b"PK\x01\x02"):
+                    self.held.setdefault(at, (p + 22 + note, count))
+        return self.held
+
+
+def _wave(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     """RIFF/WAVE: chunks must tile the declared length and hold a format before the data."""
     if len(b) < at + 44 or b[at + 8 : at + 12] != b"WAVE":
         return None
@@ -62,7 +109,7 @@ def _wave(b: bytes, at: int) -> tuple[int, str] | None:
     return None
 
 
-def _png(b: bytes, at: int) -> tuple[int, str] | None:
+def _png(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     """PNG: header first, every chunk's checksum right, up to IEND."""
     p, size = at + 8, None
     while p + 12 <= len(b):
@@ -80,7 +127,7 @@ def _png(b: bytes, at: int) -> tuple[int, str] | None:
     return None
 
 
-def _gif(b: bytes, at: int) -> tuple[int, str] | None:
+def _gif(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     """GIF: blocks and sub-blocks must lead to the trailer."""
     if len(b) < at + 14:
         return None
@@ -107,7 +154,7 @@ def _gif(b: bytes, at: int) -> tuple[int, str] | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> tuple[int, str] | None:
+def _bmp(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     """BMP: sizes of file, header and pixels must agree (uncompressed images)."""
     if len(b) < at + 54:
         return None
@@ -119,7 +166,7 @@ def _bmp(b: bytes, at: int) -> tuple[int, str] | None:
     return size, f"width={w};height={abs(h)};bits={bits}"
 
 
-def _jpeg(b: bytes, at: int) -> tuple[int, str] | None:
+def _jpeg(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     """JPEG: marker segments up to the scan, a frame header among them, then the end marker."""
     p, frame = at + 2, None
     while p + 4 <= len(b) and b[p] == 0xFF:
@@ -136,53 +183,49 @@ def _jpeg(b: bytes, at: int) -> tuple[int, str] | None:
             frame = struct.unpack_from(">HH", b, p + 5)
         p += 2 + n
         if kind == 0xDA:
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b):
-                if b[p + 1] == 0xD9:
-                    return (p + 2 - at, f"width={frame[1]};height={frame[0]}") if frame else None
-                if b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7:
-                    p += 2
-                else:
-                    break
-            if p < 0:
+            # A scan holds no end mark; other markers within it begin the next segment.
+            end = marks.next(b"\xff\xd9", p)
+            other = SCAN.search(b, p, end) if end >= 0 else None
+            if end < 0:
                 return None
+            if other is None:
+                return (end + 2 - at, f"width={frame[1]};height={frame[0]}") if frame else None
+            p = other.start()
     return None
 
 
-def _gzip(b: bytes, at: int) -> tuple[int, str] | None:
+def _gzip(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     """gzip: the stream must inflate and its checksum hold."""
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return None
     inflate, n = zlib.decompressobj(31), 0
     try:
-        data = b[at:]
-        while data:
-            n += len(inflate.decompress(data, 1 << 20))
-            data = inflate.unconsumed_tail
+        for p in range(at, len(b), 1 << 16):
+            data = b[p : p + (1 << 16)]
+            while data:
+                n += len(inflate.decompress(data, 1 << 20))
+                data = inflate.unconsumed_tail
             if inflate.eof:
-                return len(b) - at - len(inflate.unused_data), f"bytes={n}"
+                return min(p + (1 << 16), len(b)) - at - len(inflate.unused_data), f"bytes={n}"
     except zlib.error:
         return None
     return None
 
 
-def _zip(b: bytes, at: int) -> tuple[int, str] | None:
+def _zip(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     """ZIP: an end record whose directory begins and counts as it says, from this place."""
-    p = at
-    while (p := b.find(b"PK\x05\x06", p)) >= 0 and p + 22 <= len(b):
-        count, size, start, note = struct.unpack_from("<HIIH", b, p + 10)
-        if at + start + size == p and p + 22 + note <= len(b) and (not count or b[at + start : at + start + 4] == b"PK\x01\x02"):
-            return p + 22 + note - at, f"entries={count}"
-        p += 4
-    return None
+    end, count = marks.archives().get(at, (0, 0))
+    return (end - at, f"entries={count}") if end else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[int, str] | None:
+def _pdf(b: bytes, at: int, marks: Marks) -> tuple[int, str] | None:
     """PDF: version digits, a cross-reference offset and the end marker."""
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"." and b[at + 7 : at + 8].isdigit()):
         return None
-    end = b.find(b"%%EOF", at)
-    ref = b.rfind(b"startxref", at, end) if end >= 0 else -1
-    if ref < 0 or not b[ref + 9 : end].split()[:1] or not b[ref + 9 : end].split()[0].isdigit():
+    end = marks.next(b"%%EOF", at)
+    ref = marks.last(b"startxref", at, end) if end >= 0 else -1
+    offset = b[ref + 9 : min(end, ref + 64)].split()[:1] if ref >= 0 else []
+    if not offset or not offset[0].isdigit():
         return None
     return end + 5 - at, f"version={b[at + 5 : at + 8].decode()}"
 
@@ -213,13 +256,13 @@ def sniff(blob: bytes, machine: ahocorasick.Automaton | None = None) -> list[Med
     """The media in ``blob``, in order, none within another."""
     machine = machine or automaton()
     found: list[Medium] = []
-    free = 0
+    free, marks = 0, Marks(blob)
     for last, (n, k) in machine.iter(blob.decode("latin-1")):
         at = last - n + 1
         if at < free:
             continue
         _, kind, valid = FORMATS[k]
-        if got := valid(blob, at):
+        if got := valid(blob, at, marks):
             length, detail = got
             if found and found[-1].offset == at and found[-1].length >= length:
                 continue
@@ -267,6 +310,19 @@ def samples(medium: bytes) -> bytes:
     return medium[p + 8 : p + 8 + int.from_bytes(medium[p + 4 : p + 8], "little")]
 
 
+def figures(data: bytes) -> str:
+    """Mean, spread, crossings of the middle and greatest value of unsigned 8-bit samples, and the
+    strongest of the first 32 frequencies over frames of 64."""
+    x = np.frombuffer(data, np.uint8)
+    high = x >= 128
+    frames = np.zeros(33)
+    for at in range(0, len(x), 1 << 18):
+        part = x[at : at + (1 << 18)].astype(np.float32)
+        frames += np.abs(np.fft.rfft(part[: len(part) // 64 * 64].reshape(-1, 64), axis=1)).sum(0)
+    mean, square = int(x.sum(dtype=np.int64)) / len(x), int((x.astype(np.int32) ** 2).sum(dtype=np.int64)) / len(x)
+    return f"mean={mean:.3f};spread={max(0.0, square - mean * mean) ** 0.5:.3f};crossings={int((high[1:] != high[:-1]).sum())};peak={int(x.max())};tone={int(frames[1:].argmax()) + 1}"
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         machine = automaton()
@@ -274,7 +330,8 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for value in batch.column(1):
                 data = value.as_py()
-                blob = b"\0\0declared" + wave(data + bytes(-len(data) % 64 or (0 if data else 64))) + b"\0\0"
+                payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+                blob = bytes(zlib.crc32(payload) % 64) + wave(payload) + b"\0\0"
                 m = next(m for m in sniff(blob, machine) if m.kind == "audio/wav")
                 stored = blob[m.offset : m.offset + m.length]
                 back = samples(stored)
@@ -284,7 +341,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out["tail_crc32"].append(zlib.crc32(back[-64:]))
                 out["media_bytes"].append(len(stored))
                 out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
-                out["feature"].append(f"declared=image/png;kind={m.kind};{m.detail}")
+                out["feature"].append(f"declared=image/png;kind={m.kind};{m.detail};{figures(back)}")
             yield {"doc_id": batch.column(0)} | out
 
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
