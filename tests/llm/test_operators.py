@@ -159,6 +159,13 @@ def test_language_model_of_nothing(spark, nothing):
         ("<article>cut <b", "cut"),
         ("", ""),
         ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"),
+        ("<div class='wrapper has-sidebar'><article>x</article><div class=sidebar>y</div></div>", "x"),
+        ("<article class='post comments-open'><p>x</p><section id=comments><article>no</article></section></article>", "x"),
+        ("<article><header class='article-header'><h1>Title</h1></header><p>x</p></article>", "Title x"),
+        ("<article><p>teaser</p></article><div><p>the main story, which is longer</p></div>", "teaser the main story, which is longer"),
+        ("<div id=main-nav>no</div><article>x<div class=post-comments>no</div><p class=no-comments>y</article>", "x y"),
+        ("<div class=banner><article>x</article>y</div>", "x"),
+        ("<aside><article>teaser</article></aside><p>story", "story"),
     ],
 )
 def test_main_text_of_a_page(page, text):
@@ -176,6 +183,31 @@ def test_site_tree_removes_what_a_site_repeats(spark):
     assert sitetree.extract(pages.limit(0)).count() == 0
 
 
+def test_site_tree_prunes_what_every_article_repeats(spark):
+    page = "<article><h1>T{0}</h1><p>story {0}</p><p>more {0}</p><div class=letter>Get our letter</div>{1}</article>"
+    rows = [(i, "http://h/", page.format(i, "<ul><li>rare</ul>" if i % 5 == 0 else "")) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i} story {i} more {i}" + (" rare" if i % 5 == 0 else "") for i in range(20)}
+
+
+def test_pages_against_brute_force(spark, tmp_path):
+    """The query on generated sites: what was put into the article comes out, whatever is around it."""
+    r = random.Random(8)
+    word = lambda n: " ".join(r.choice(["stone", "river", "a", "window", "paper", "green"]) + str(r.randrange(99)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(90):
+        blocks = [word(r.randint(1, 40)) for _ in range(r.randint(1, 8))]
+        menu = "".join(f"<li><a href=/>{word(1)}</a></li>" for _ in range(5))
+        body = "".join(f"<{t}>{b}</{t}>" for b, t in zip(blocks, [r.choice(["p", "li", "blockquote", "h2"]) for _ in blocks], strict=True))
+        rows.append((i, f"https://s{i % 3}.example/{i}", f"<html><head><title>{word(3)}</title><style>p{{}}</style></head><body class='has-sidebar'><nav><ul>{menu}</ul></nav><div class=ad>{word(6)}</div><article>{body}</article><div id=comments><p>{word(9)}</p></div><footer>&copy; {word(4)}</footer><script>x('</p>')</script>"))
+        want[i] = " ".join(blocks)
+    rows += [(90, None, None), (91, "", ""), (92, "x", "<p>" + "long " * 200_000)]
+    want |= {90: "", 91: "", 92: " ".join(["long"] * 200_000)}
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sitetree.op3_sitetree(spark, str(tmp_path)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_copies_of_an_article_are_no_boilerplate(spark):
     rows = [(i, "http://h/", "<nav>m</nav><article><p>the same</p></article>") for i in range(30)]
     got = sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("text").distinct().collect()

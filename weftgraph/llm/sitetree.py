@@ -1,21 +1,31 @@
 """Main text of HTML pages by a site style tree.
 
 The element trees of a host's pages are merged: elements meet under the same path of (tag, class
-and id without digits, and for containers the place among like siblings), and each path keeps how many pages have it, which child sequences (styles)
-it shows and which texts it holds. A path's importance is, as in site style trees,
+and id without digits, and for containers the place among like siblings), and each path keeps how
+many pages have it, which child sequences (styles) it shows and which texts it holds. A path's
+importance is, as in site style trees,
 
 * of its presentation: the entropy of its styles over the m pages that have it, to base m;
 * of its content: the entropy of its own texts, likewise; with one page only, 1;
 * composite: ``(1 - g**l) * presentation + g**l * mean(children's composites and own content)``,
   l being the number of child paths, and the content's alone for a leaf.
 
-Menus and notices that a site repeats thus get a low importance, articles a high one. What HTML
-says about a branch is a prior: navigation, footers, asides, forms, scripts and the like, and
-classes or ids that name adverts, comments, banners etc. have importance 0; ``article`` and
-``main`` and what is in them have 1, so that copies of an article on one host are not taken for
-boilerplate. Branches that are under ``least`` throughout are removed from each page; where a page marks its article,
-what lies beside it is removed too. Where nothing would be left of a page without such marks, as of
-copies of one page on a host of its own, only what the prior rules out is removed.
+Branches are kept where their composite, times the weight of their marks, is ``least`` or more, or
+where something below them is. HTML's own marks are weights:
+
+* elements that hold no text of the page (scripts, styles, forms, buttons) weigh 0;
+* navigation, asides, footers, page headers and classes, ids or roles that name adverts, comments,
+  banners and the like weigh ``doubt``, under ``least``: the menus and footers of a site may differ from page to page, so
+  that entropy alone would keep them. A class that only describes the page (``has-sidebar``, ``comments-open``,
+  ``article-header``) is no such name, and a branch that holds an ``article`` or ``main`` is never one;
+* ``article`` and ``main`` weigh ``trust``. In them a branch is pruned where it repeats while the rest
+  varies: at least half of the host's marked pages and ``enough`` pages have it, and its composite is
+  under ``least`` times that of the marks. So a subscription line within every article goes, and copies of
+  one article on a host stay, as all their branches repeat alike.
+
+What lies beside an ``article`` or ``main`` goes, unless it is more text than what is marked, as
+beside a teaser. Where nothing would be left of a page without such marks, as of copies of one page
+on a host of its own, only what the marks rule out is removed.
 
 Plan: pages are parsed where they lie and give (host, path, feature) counts, merged per batch and
 then by Spark, so a hot host is no large group; entropies are sums over those; a host's paths (as
@@ -25,8 +35,8 @@ bytes, else a shuffled join that AQE can split) and pruned.
 
 Null html is empty, null urls are one host; broken markup is read as browsers do, roughly: unclosed
 elements are closed by what cannot be inside them, stray end tags are ignored, a tag cut off at
-the end is dropped. Repeated rows give repeated results and count in the tree. Empty tables give
-empty results; other columns do not matter.
+the end is dropped. Very long pages are parsed whole. Repeated rows give repeated results and count
+in the tree. Empty tables give empty results; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -62,18 +72,22 @@ CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "head", "html",
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
             "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"), "body": ("head",)}
 SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "body": ("html",)}
-# The prior: elements, roles and parts of class and id names that are never, or always, main text.
-NEVER = frozenset("head script style noscript template nav footer aside form iframe object svg math button select textarea input dialog menu noframes xmp noembed canvas audio video".split())
+# The marks: elements without text of the page; elements, roles and parts of class and id names of
+# boilerplate; parts that make such a name a description; and elements of main text.
+EMPTY = frozenset("head script style noscript template form iframe object svg math button select textarea input dialog noframes xmp noembed canvas audio video".split())
+ASIDE = frozenset("nav footer aside menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header "
     "masthead comment comments reply replies disqus respond cookie cookies consent gdpr notice popup modal overlay share sharing social related recommended newsletter "
     "subscribe subscription signup login pagination pager toc widget copyright".split()
 )
+DESCRIBES = frozenset("has no not with without is are open opened closed enabled disabled supports".split())
 ALWAYS = frozenset("article main".split())
-PART = re.compile(r"[A-Za-z]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
-BOILER, NEUTRAL, CONTENT = 0, 1, 2
+#: Marks of a branch: no text, boilerplate, none, main text.
+VOIDED, BOILER, NEUTRAL, CONTENT = 0, 1, 2, 3
 
 
 class Node:
@@ -89,18 +103,40 @@ class Node:
         self.seen: dict[str, int] = {}
         self.texts: list[str] = []
 
+    def line(self) -> Iterator[Node]:
+        """The element and what it lies in."""
+        n: Node | None = self
+        while n is not None:
+            yield n
+            n = n.parent
+
+
+def names_boilerplate(value: str, inside: bool) -> bool:
+    """Whether one of the names of a class or id attribute is one of boilerplate; within main text a
+    header is its title."""
+    for name in value.split():
+        parts = [p.lower() for p in PART.findall(name)]
+        if any(p in NAMES and not (inside and p == "header") for p in parts) and not any(p in DESCRIBES for p in parts):
+            return True
+    return False
+
 
 def _prior(tag: str, attributes: dict[str, str], parent: Node) -> int:
-    if parent.prior == BOILER or tag in NEVER or "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return BOILER
+    role = attributes.get("role")
+    if parent.prior == VOIDED or tag in EMPTY or "hidden" in attributes or attributes.get("aria-hidden") == "true":
+        return VOIDED
+    marked = tag in ALWAYS or role in ("main", "article")
     inside = parent.prior == CONTENT
-    if tag == "header" and not inside or attributes.get("role") in ROLES:
-        return BOILER
-    if tag not in ("html", "body"):
-        for key in ("class", "id"):
-            if key in attributes and any(p.lower() in NAMES for p in PART.findall(attributes[key])):
-                return BOILER
-    return CONTENT if inside or tag in ALWAYS or attributes.get("role") in ("main", "article") else NEUTRAL
+    if not marked:
+        if tag in ASIDE or tag == "header" and not inside or role in ROLES:
+            return BOILER
+        if tag not in ("html", "body") and any(names_boilerplate(attributes[k], inside) for k in ("class", "id") if k in attributes):
+            return BOILER
+        if parent.prior == BOILER:
+            return BOILER
+    elif parent.prior == BOILER and any(n.tag in ASIDE or n.prior == CONTENT for n in parent.line()):
+        return BOILER  # comments on an article, teasers in a sidebar
+    return CONTENT if inside or marked else NEUTRAL
 
 
 def parse(text: str) -> tuple[list[Node], list[tuple[Node | None, str]]]:
@@ -176,30 +212,32 @@ def parse(text: str) -> tuple[list[Node], list[tuple[Node | None, str]]]:
 
 
 def main_text(text: str, low: set[int]) -> str:
-    """The page's text without branches that are boilerplate or whose path is in ``low``."""
+    """The page's text without branches whose marks rule them out or whose path is in ``low``."""
     nodes, events = parse(text)
     gone: dict[int, bool] = {}
-
-    def removed(n: Node) -> bool:
-        key = id(n)
-        if key not in gone:
-            gone[key] = n.prior == BOILER or n.prior == NEUTRAL and n.path in low or n.parent is not None and removed(n.parent)
-        return gone[key]
-
-    for n in nodes:  # parents first, so that no recursion is deep
-        removed(n)
-    marked = any(n.prior == CONTENT for n in nodes)
+    for n in nodes:  # parents first
+        out = n.prior <= BOILER or n.path in low
+        # An article in a branch with the name of boilerplate is no boilerplate.
+        gone[id(n)] = out or n.parent is not None and gone[id(n.parent)] and not (n.prior == CONTENT and n.parent.prior != CONTENT)
     blocks, held = [], []
     for node, piece in [*events, (None, "")]:
         if node is None:
-            if held and (words := "".join(held).split()):
-                blocks.append(" ".join(words))
+            if held and (words := "".join(p for p, _ in held).split()):
+                blocks.append((" ".join(words), any(m for p, m in held if not p.isspace())))
             held = []
-        elif not gone[id(node)] and (node.prior == CONTENT or not marked):
-            held.append(piece)
-    if not blocks and low and not marked:  # copies of one page look like a template
-        return main_text(text, set())
-    return " ".join(blocks)
+        elif not gone[id(node)]:
+            held.append((piece, node.prior == CONTENT))
+    inner, beside = ([b for b, m in blocks if m is inside] for inside in (True, False))
+    if sum(map(len, inner)) >= sum(map(len, beside)):
+        return " ".join(inner)
+    if not inner or blocks:
+        return " ".join(b for b, _ in blocks)
+    return ""
+
+
+def extracted(text: str, low: set[int]) -> str:
+    """:func:`main_text`, or what the marks leave where the tree leaves nothing."""
+    return main_text(text, low) or (main_text(text, set()) if low else "")
 
 
 def signed(x: int) -> int:
@@ -207,15 +245,16 @@ def signed(x: int) -> int:
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    """``(host, path, parent, prior, kind, feature, n)``: kind 0 a style, kind 1 a text."""
+    """``(host, path, parent, prior, kind, feature, n)``: kind 0 a style, kind 1 a text. A host's
+    marked pages are counted under path 0."""
     for batch in batches:
         counts: dict[tuple, int] = defaultdict(int)
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             nodes, _ = parse(page or "")
             styles: dict[tuple, list] = {}
             for n in nodes:
-                # A branch below boilerplate, or in an article, is decided already.
-                if n.parent is not None and n.parent.prior != NEUTRAL:
+                # What the marks rule out whole is decided; its own row stays, as a child.
+                if n.parent is not None and n.parent.prior <= BOILER and n.prior <= BOILER:
                     continue
                 key = (n.path, n.parent.path if n.parent else 0, n.prior)
                 style, words = styles.setdefault(key, [set(), []])
@@ -225,71 +264,83 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
                 counts[host, signed(path), signed(parent), prior, 0, signed(xxhash.xxh64_intdigest("\1".join(sorted(style))))] += 1
                 if own := " ".join(" ".join(words).split()):
                     counts[host, signed(path), signed(parent), prior, 1, signed(xxhash.xxh64_intdigest(own))] += 1
+            if any(n.prior == CONTENT for n in nodes):
+                counts[host, 0, 0, NEUTRAL, 0, 0] += 1
         if counts:
             h, p, q, r, k, f = zip(*counts, strict=True)
             yield {"host": list(h), "path": list(p), "parent": list(q), "prior": list(r), "kind": list(k), "feature": list(f), "n": list(counts.values())}
 
 
-def composites(path: list[int], parent: list[int], prior: list[int], kind: list[int], entropy: list[float], damp: float = 0.9) -> tuple[dict[int, float], dict[int, set[int]]]:
-    """Composite importance of each path of a host, and the paths below each."""
-    style, content, of, children = {}, {}, {}, defaultdict(set)
-    for p, q, r, k, e in zip(path, parent, prior, kind, entropy, strict=True):
-        (content if k else style)[p] = e
-        of[p] = r
-        if p != q:
-            children[q].add(p)
+#: host's paths: path -> (parent, prior, pages, entropy of styles, entropy of texts or None).
+Tree = dict[int, tuple[int, int, int, float, float | None]]
+
+
+def composites(tree: Tree, damp: float = 0.9) -> dict[int, float]:
+    """Composite importance of each path, without marks."""
+    children = defaultdict(list)
+    for p, (q, *_) in sorted(tree.items()):
+        if p != q and q in tree:
+            children[q].append(p)
     out: dict[int, float] = {}
-    for root in list(of):
-        stack = [root]
+    for top in tree:
+        stack = [top]
         while stack:
-            p = stack[-1]
+            p = stack.pop()
             if p in out:
-                stack.pop()
                 continue
-            wait = [c for c in children[p] if c not in out]
-            if wait:
-                stack += wait
+            if wait := [c for c in children[p] if c not in out]:
+                stack += [p, *wait]
                 continue
-            stack.pop()
-            if of[p] == BOILER:
-                out[p] = 0.0
-            elif of[p] == CONTENT:
-                out[p] = 1.0
-            else:
-                parts = [out[c] for c in sorted(children[p])] + ([content[p]] if p in content else [])
-                inner = sum(parts) / len(parts) if parts else 0.0
-                share = damp ** len(children[p])
-                out[p] = (1 - share) * style.get(p, 1.0) + share * inner
-    return out, children
-
-
-def noise(path: list[int], parent: list[int], prior: list[int], kind: list[int], entropy: list[float], least: float) -> list[int]:
-    """Paths that are, with all below them, under ``least``."""
-    value, _ = composites(path, parent, prior, kind, entropy)
+            _, _, _, style, content = tree[p]
+            parts = [out[c] for c in children[p]] + ([content] if content is not None else [])
+            share = damp ** len(children[p])
+            out[p] = (1 - share) * style + share * (sum(parts) / len(parts) if parts else 0.0)
+    return out
+
+
+def noise(tree: Tree, marked: int, least: float, doubt: float, trust: float, enough: int) -> list[int]:
+    """Paths whose weighed importance is, with that of all below them, under ``least``. ``marked``:
+    the host's pages with an article or main element."""
+    value = composites(tree)
+    top = [p for p, (q, prior, *_) in tree.items() if prior == CONTENT and (q not in tree or tree[q][1] != CONTENT)]
+    varies = max((value[p] for p in top), default=0.0)
     fine: set[int] = set()
-    above = {p: q for p, q in zip(path, parent, strict=True)}
-    for p, v in value.items():
-        while v >= least and p not in fine:  # it keeps what leads to it
+    for p, (_, prior, pages, _, _) in tree.items():
+        weight = (0.0, doubt, 1.0, trust)[prior]
+        if prior == CONTENT:
+            known = pages >= max(enough, marked / 2)
+            keep = not known or weight * value[p] >= least * varies
+        else:
+            keep = weight * value[p] >= least
+        while keep and p in tree and p not in fine:  # it keeps what leads to it
             fine.add(p)
-            p = above.get(p, p)
-    return sorted(p for p in value if p not in fine)
+            p = tree[p][0]
+    return sorted(p for p in tree if p not in fine)
 
 
-def site_trees(pages: DataFrame, least: float = 0.2) -> DataFrame:
+def site_trees(pages: DataFrame, least: float = 0.2, doubt: float = 0.15, trust: float = 1.0, enough: int = 8) -> DataFrame:
     """``(host, low)``: packed hashes of a host's paths whose importance is under ``least``."""
     keys = ["host", "path", "parent", "prior", "kind"]
     counts = arrow_map(pages.select("host", "html"), _features, "host string, path long, parent long, prior int, kind int, feature long, n long")
     each = counts.groupBy(*keys, "feature").agg(F.sum("n").alias("n"))
     sums = each.groupBy(*keys).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m"))).otherwise(F.lit(1.0))
-    paths = sums.groupBy("host").agg(F.collect_list(F.struct("path", "parent", "prior", "kind", entropy.alias("entropy"))).alias("paths"))
+    paths = sums.groupBy("host").agg(F.collect_list(F.struct("path", "parent", "prior", "kind", "m", entropy.alias("entropy"))).alias("paths"))
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             packed = []
             for rows in batch.column(1):
-                columns = zip(*([r[k] for k in ("path", "parent", "prior", "kind", "entropy")] for r in rows.as_py()), strict=True)
-                packed.append(np.array(noise(*map(list, columns), least), "<i8").tobytes())
+                tree: Tree = {}
+                marked = 0
+                for r in sorted(rows.as_py(), key=lambda r: (r["path"], r["kind"], r["prior"])):
+                    if r["path"] == 0 and r["parent"] == 0:
+                        marked = r["m"]
+                    elif r["kind"] == 0:
+                        tree[r["path"]] = (r["parent"], r["prior"], r["m"], r["entropy"], None)
+                    else:
+                        tree[r["path"]] = (*tree[r["path"]][:4], r["entropy"])
+                packed.append(np.array(noise(tree, marked, least, doubt, trust, enough), "<i8").tobytes())
             yield {"host": batch.column(0), "low": packed}
 
     return arrow_map(paths, kernel, "host string, low binary")
@@ -317,7 +368,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                     if len(known) > 1000:
                         known.clear()
                     known[low] = set(np.frombuffer(low, "<u8").tolist())
-                texts.append(main_text(page or "", known[low]))
+                texts.append(extracted(page or "", known[low]))
             yield {"page_id": batch.column(0), "url": batch.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
     return arrow_map(joined.select("page_id", "url", "html", "low"), kernel, "page_id long, url string, text string, n_chars long")
