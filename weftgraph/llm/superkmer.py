@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.lineage import release
 from weftgraph.llm.common import arrow_map, chunks, cut, slices, table, utf8
 from weftgraph.llm.vectext import Words, mix, rolling, sliding_min
 
@@ -280,11 +281,9 @@ RANGES = "id long, tag long, start int, end int"
 def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, mer: int = 4, inline: int = 16) -> DataFrame:
     """``(id, tag, start, end)``: word ranges of a document, which may overlap, covered by windows
     that also start in a document with a smaller id. ``tag``: see :func:`tagged`."""
-    buckets = max(64, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = tagged(docs, key, text).filter("id IS NOT NULL").select("id", "tag", utf8(text).alias("text"))
-    sent = arrow_map(rows, _send(width, mer, buckets, inline, 16 << 20), "bucket int, kind int, digest binary, blob binary")
-    placed = sent.repartition("bucket").sortWithinPartitions("bucket")
-    counted = cut(arrow_map(placed, _count(width, inline), "kind int, digest binary, blob binary"))
+    spark = docs.sparkSession
+    counted = _counted(docs, key, text, width, mer, inline)
+    release(spark)
     light = arrow_map(counted.filter(f"kind = {LIGHT}").select("blob"), _ranges, RANGES)
     # Buckets of several strings may answer for one digest only if the strings are equal: one row.
     answers = counted.filter(f"kind = {ANSWER}").select("digest", F.col("blob").alias("answer")).dropDuplicates(["digest"])
@@ -292,6 +291,16 @@ def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return light.unionByName(arrow_map(heavy.select("blob", "answer"), _answered(width), RANGES))
 
 
+def _counted(docs: DataFrame, key: str, text: str, width: int, mer: int, inline: int) -> DataFrame:
+    """What the buckets answer. They are dealt out evenly, eight to a task."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * parts
+    rows = tagged(docs, key, text).filter("id IS NOT NULL").select("id", "tag", utf8(text).alias("text"))
+    sent = arrow_map(rows, _send(width, mer, buckets, inline, 16 << 20), "bucket int, kind int, digest binary, blob binary")
+    placed = sent.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
+    return cut(arrow_map(placed, _count(width, inline), "kind int, digest binary, blob binary"))
+
+
 def tagged(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), text, F.xxhash64(text).alias("tag"))
 
