@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.graph import Graph
 from weftgraph.lineage import cut
 from weftgraph.operators.triangles import node_triangles
+from weftgraph.operators import kernels
 
 EVERY = 5  # rounds between lineage cuts
 
@@ -36,23 +37,20 @@ def pagerank(g: Graph, damp: float = 0.85, tol: float = 1e-8, normalized: bool =
     n = g.nodes.count()
     if not n:
         return g.nodes.select(F.col("id").alias("node"), F.lit(0.0).alias("score"))
+    if kernels.small(g):
+        return kernels.whole(g, kernels.pagerank(g.directed, damp, tol, iterations, normalized), "node long, score double")
     out = g.adjacency.groupBy("u").agg(F.sum("w").alias("total"))
     share = cut(g.adjacency.join(out, "u").select("u", "v", (F.col("w") / F.col("total")).alias("share")))
     score = g.nodes.select(F.col("id").alias("node"), F.lit(1.0 / n).alias("score"))
-    for k in range(iterations or 1000):
-        got = share.join(score, F.col("u") == F.col("node")).groupBy("v").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        old = score.withColumnRenamed("score", "old") if iterations is None else score.select("node")
-        new = old.join(got, F.col("node") == F.col("v"), "left").withColumn("score", damp * F.coalesce("got", F.lit(0.0)) + (1 - damp) / n)
-        if iterations is None:
-            new = cut(new.select("node", "old", "score"))
-            moved = math.sqrt(_total(new, F.sum((F.col("score") - F.col("old")) ** 2)))
-            score = new.select("node", "score")
-            if moved <= tol:
-                break
-        else:
-            score = new.select("node", "score")
-            if k % EVERY == EVERY - 1:
-                score = cut(score)
+    for at in range(0, iterations or 1000, EVERY):
+        for _ in range(min(EVERY, (iterations or 1000) - at)):  # rounds that one job computes
+            got = share.join(score.select("node", "score"), F.col("u") == F.col("node")).groupBy("v").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+            old = score.select("node", F.col("score").alias("old"))
+            score = old.join(got, F.col("node") == F.col("v"), "left").select("node", "old", (damp * F.coalesce("got", F.lit(0.0)) + (1 - damp) / n).alias("score"))
+        score = cut(score)
+        if iterations is None and math.sqrt(_total(score, F.sum((F.col("score") - F.col("old")) ** 2))) <= tol:
+            break
+    score = score.select("node", "score")
     if normalized:
         sinks = g.nodes.join(out, F.col("id") == F.col("u"), "left_anti").withColumnRenamed("id", "node")
         base = (1 - damp + damp * _total(score.join(sinks, "node"), F.sum("score"))) / n
@@ -64,7 +62,7 @@ def pagerank(g: Graph, damp: float = 0.85, tol: float = 1e-8, normalized: bool =
 def eigenvector(g: Graph, tol: float = 1e-9, iterations: int | None = None) -> DataFrame:
     """``(node, score)``: power iteration over in-edges from all ones; it stops when the lengths of
     two vectors in a row differ by ``tol`` at most."""
-    return _power(g, lambda s: F.coalesce(s, F.lit(0.0)), lambda w, x: w * x, tol, iterations, scale=True)
+    return _power(g, lambda s: F.coalesce(s, F.lit(0.0)), lambda w, x: w * x, tol, iterations, True)
 
 
 def katz(g: Graph, alpha: float | None = None, beta: float = 0.1, tol: float = 1e-8, iterations: int | None = None) -> DataFrame:
@@ -72,20 +70,26 @@ def katz(g: Graph, alpha: float | None = None, beta: float = 0.1, tol: float = 1
     at the end; alpha defaults to 1 / (1 + greatest degree)."""
     if alpha is None:
         alpha = 1 / (1 + (g.degrees().agg(F.max("degree")).first()[0] or 0))
-    return _power(g, lambda s: beta + alpha * F.coalesce(s, F.lit(0.0)), lambda w, x: w * (1 + x), tol, iterations, scale=False)
+    return _power(g, lambda s: beta + alpha * F.coalesce(s, F.lit(0.0)), lambda w, x: w * (1 + x), tol, iterations, False, alpha, beta)
 
 
-def _power(g: Graph, value, term, tol: float, iterations: int | None, scale: bool) -> DataFrame:
+def _power(g: Graph, value, term, tol: float, iterations: int | None, scale: bool, alpha: float = 0.0, beta: float = 0.0) -> DataFrame:
     g = g.kept()
+    if kernels.small(g):
+        return kernels.whole(g, kernels.power(g.directed, alpha, beta, tol, iterations, scale), "node long, score double")
     score = g.nodes.select(F.col("id").alias("node"), F.lit(1.0).alias("score"))
     before = math.sqrt(g.nodes.count())
     length = before
-    for _ in range(iterations or 1000):
-        got = g.reverse.join(score, F.col("v") == F.col("node")).groupBy("u").agg(F.sum(term(F.col("w"), F.col("score"))).alias("got"))
-        score = cut(score.select("node").join(got, F.col("node") == F.col("u"), "left").select("node", value(F.col("got")).alias("score")))
+    for at in range(0, iterations or 1000, EVERY):
+        steps = min(EVERY, (iterations or 1000) - at)
+        for _ in range(steps):  # rounds that one job computes; they are linear, so lengths can wait
+            got = g.reverse.join(score, F.col("v") == F.col("node")).groupBy("u").agg(F.sum(term(F.col("w"), F.col("score"))).alias("got"))
+            score = score.select("node").join(got, F.col("node") == F.col("u"), "left").select("node", value(F.col("got")).alias("score"))
+        score = cut(score)
         length = math.sqrt(_total(score, F.sum(F.col("score") ** 2)))
         if scale and length:
             score = score.select("node", (F.col("score") / length).alias("score"))
+            length **= 1 / steps  # the mean growth of a round
         if iterations is None and abs(length - before) <= tol:
             break
         before = length
@@ -154,6 +158,16 @@ def core(g: Graph, normalized: bool = False) -> DataFrame:
     if g.edges.filter("src = dst").limit(1).count():
         raise ValueError("core numbers need a graph without self-loops")
     g = g.kept()
+    if kernels.small(g):
+        found = kernels.whole(g, kernels.cores, "node long, score double")
+    else:
+        found = _cores(g)
+    if normalized:
+        found = found.crossJoin(found.agg(F.max("score").alias("most"))).select("node", (F.col("score") / F.col("most")).alias("score"))  # one row
+    return found
+
+
+def _cores(g: Graph) -> DataFrame:
     state = cut(g.degrees().select(F.col("id").alias("node"), F.col("degree").alias("c")))
     while True:
         seen = g.adjacency.join(state, F.col("v") == F.col("node")).groupBy("u", "c").agg(F.count("*").alias("k"))
@@ -169,10 +183,7 @@ def core(g: Graph, normalized: bool = False) -> DataFrame:
         state = new.select("node", "c")
         if not new.filter("moved").limit(1).count():
             break
-    found = state.select("node", F.col("c").cast("double").alias("score"))
-    if normalized:
-        found = found.crossJoin(found.agg(F.max("score").alias("most"))).select("node", (F.col("score") / F.col("most")).alias("score"))  # one row
-    return found
+    return state.select("node", F.col("c").cast("double").alias("score"))
 
 
 def centralization(scores: DataFrame, most: float) -> DataFrame:

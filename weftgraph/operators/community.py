@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, canonical, numbered
 from weftgraph.lineage import cut
+from weftgraph.operators import kernels
 
 
 def singletons(g: Graph) -> DataFrame:
@@ -252,6 +253,12 @@ def louvain(g: Graph, gamma: float = 1.0, levels: int = 12, rounds: int = 16) ->
     """``(node, block)``: greedy modularity moves on ever coarser graphs. In each round every node
     finds its best neighbouring block from one aggregate; a seeded half of the nodes moves."""
     level = Graph(g.nodes, g.edges, False, True).kept()
+    if kernels.small(level):
+        return kernels.whole(level, kernels.louvain(gamma, levels, 4 * rounds), "node long, block long")
+    return _louvain(level, gamma, levels, rounds)
+
+
+def _louvain(level: Graph, gamma: float, levels: int, rounds: int) -> DataFrame:
     mapping = cut(singletons(level))
     total = level.edges.agg(F.sum("w")).first()[0] or 0.0
     if not total:

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.lineage import cut
+from weftgraph.operators import kernels
 from weftgraph.operators.stars import star_components
 
 
 def connected(g: Graph) -> DataFrame:
     """``(node, component)``, the component named by its least node; directions are ignored, so
     these are the weak components of a directed graph."""
+    g = g.kept()
+    if kernels.small(g):
+        return kernels.whole(g, kernels.connected, "node long, component long")
     found = star_components(g.edges)
     return g.nodes.join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
 
@@ -39,6 +43,12 @@ def strong(g: Graph) -> DataFrame:
     within a colour, the nodes that reach the colour's root backwards are its component. They are
     settled and taken out; nodes without in- or out-edges are settled at once."""
     g = g.kept()
+    if kernels.small(g) and g.directed:
+        return kernels.whole(g, kernels.strong, "node long, component long")
+    return _strong(g)
+
+
+def _strong(g: Graph) -> DataFrame:
     edges = cut(g.edges.filter("src <> dst").select("src", "dst").distinct())
     left = cut(g.nodes)
     done = None
@@ -74,6 +84,15 @@ def strong(g: Graph) -> DataFrame:
         edges = _inside(edges, left)
 
 
+def biconnected(g: Graph) -> DataFrame:
+    """``(node, block)``: the nodes of each biconnected component, of two nodes at least; a cut node
+    is in several. The search is sequential, so the graph must fit one task."""
+    g = g.kept()
+    if not kernels.small(g):
+        raise ValueError("biconnected components need a graph that fits one task")
+    return kernels.whole(g, kernels.biconnected, "node long, block long")
+
+
 def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     a, b = nodes.select(F.col("id").alias("src")), nodes.select(F.col("id").alias("dst"))
     return cut(edges.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst"))

@@ -1,4 +1,5 @@
-"""Graphs derived from the sales tables, as DataFrames and as SQL that builds the same tables.
+"""Graphs derived from the sales tables, as DataFrames and as SQL that builds the same tables. They
+are computed once, so that a query reads each table once however often it uses the edges.
 
 * ``trade``: directed, weighted, nation of the customer -> nation of the supplier, w = line items;
 * ``copurchase(least)``: undirected, weighted, parts bought together in at least ``least`` orders
@@ -28,7 +29,7 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     edges = rows.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
     nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
-    return graph(edges, nodes, directed=True, w="w")
+    return graph(edges, nodes, directed=True, w="w").kept()
 
 
 def copurchase(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
@@ -37,7 +38,7 @@ def copurchase(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
     pairs = bought.join(bought.withColumnRenamed("l_partkey", "other"), "l_orderkey").filter("l_partkey > other")
     edges = pairs.groupBy(F.col("l_partkey").alias("src"), F.col("other").alias("dst")).agg(F.count("*").cast("double").alias("w")).filter(F.col("w") >= least)
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    return graph(edges, nodes, w="w")
+    return graph(edges, nodes, w="w").kept()
 
 
 def basket(spark: SparkSession, sf_dir: str) -> Graph:
@@ -46,7 +47,7 @@ def basket(spark: SparkSession, sf_dir: str) -> Graph:
     shift = table(spark, sf_dir, "customer").agg((F.max("c_custkey") + 1).alias("shift"))
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).crossJoin(shift)  # one row
     edges = rows.select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + F.col("shift")).alias("dst")).select(*canonical()).distinct()
-    return graph(edges)
+    return graph(edges).kept()
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
