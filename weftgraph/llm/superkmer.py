@@ -4,9 +4,9 @@ A window is ``width`` consecutive words. The minimiser of a window is the least
 ``mer``-word pieces; consecutive windows with the same minimiser form a super-k-mer, which travels
 as one packed string (its words) to the bucket of that minimiser, so a window costs about three
 words of traffic instead of thirteen, and equal windows always meet in one bucket. There windows
-are sorted and compared byte for byte, and the least doc_id of each is found. Pieces of four words
-are rare but in repeated passages, which travel merged, so that no minimiser is hot; the number of
-buckets follows the number of shuffle partitions.
+are sorted and compared byte for byte, and the least doc_id of each is found. Pieces of short words
+are minimisers only where a window has no others, so that common word pairs do not draw all their
+windows into one bucket; the number of buckets follows the number of shuffle partitions.
 
 Equal super-k-mers of a task are merged before they travel. Where a task has more than ``inline``
 places for one of them, only the least doc_id goes to the bucket; the places wait in rows of their
@@ -34,17 +34,21 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.lineage import release
 from weftgraph.llm.common import arrow_map, chunks, cut, slices, table, utf8
 from weftgraph.llm.vectext import Words, mix, rolling, sliding_min
 
 LIGHT, PLACES, ANSWER = 0, 1, 2
+SHORT = 4  # bytes
 LONGEST = 256  # windows in one packed string; a longer run is cut, which changes no result
 
 
 def super_kmers(words: Words, width: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of windows and minimiser of each super-k-mer."""
-    least = sliding_min(rolling(words.hash, mer), width - mer + 1)
+    value = rolling(words.hash, mer)
+    # Pieces of short words come last, as they are the common ones: no bucket is hot for "of the".
+    long_ = np.concatenate(([0], np.cumsum(words.end - words.start > SHORT)))
+    common = long_[mer:] == long_[:-mer] if len(value) else np.zeros(0, bool)
+    least = sliding_min((value >> np.uint64(1)) | (common.astype(np.uint64) << np.uint64(63)), width - mer + 1)
     n = len(words) - width + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
@@ -278,12 +282,10 @@ def _answered(width: int):
 RANGES = "id long, tag long, start int, end int"
 
 
-def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, mer: int = 4, inline: int = 16) -> DataFrame:
+def repeated_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 13, mer: int = 2, inline: int = 16) -> DataFrame:
     """``(id, tag, start, end)``: word ranges of a document, which may overlap, covered by windows
     that also start in a document with a smaller id. ``tag``: see :func:`tagged`."""
-    spark = docs.sparkSession
     counted = _counted(docs, key, text, width, mer, inline)
-    release(spark)
     light = arrow_map(counted.filter(f"kind = {LIGHT}").select("blob"), _ranges, RANGES)
     # Buckets of several strings may answer for one digest only if the strings are equal: one row.
     answers = counted.filter(f"kind = {ANSWER}").select("digest", F.col("blob").alias("answer")).dropDuplicates(["digest"])
