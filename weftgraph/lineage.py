@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +31,3 @@ def cut(df: DataFrame) -> DataFrame:
     done._was_cut = True
     return done
 
-
-def release(spark: SparkSession) -> None:
-    """Frees the shuffle files of frames that nothing refers to any more. Spark does so when the
-    driver collects its garbage, which may be long after; worth the call after a large shuffle
-    whose result was ``cut``."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
