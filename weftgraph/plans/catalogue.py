@@ -1,6 +1,6 @@
 """Registered queries of the graph operators: name -> callable, and name -> equivalent SQL.
 
-Every query reads whole tables; the graphs it builds from them are thinned (see ``derived``). Scores that depend on the
+Every query reads whole tables; some graphs keep their heavier edges only (see ``derived``). Scores that depend on the
 order of a floating sum are rounded in both forms.
 """
 
@@ -17,6 +17,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 PART = copurchase_sql(2)
+#: The same, each step computed once.
+KEPT = PART.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
 
 
 def query(sql: str | None = None):
@@ -186,19 +188,6 @@ def partition_coverage(spark, d):
     return rounded(centrality.partition_coverage(derived.copurchase(spark, d), derived.sizes(spark, d)), 9)
 
 
-def _core_sql(rounds: int) -> str:
-    """Peeling: the nodes that survive repeated removal of those with under ``k`` neighbours."""
-    steps = ["s0 AS (SELECT id FROM nodes)"]
-    for r in range(1, rounds + 1):
-        steps.append(f"s{r} AS (SELECT a.id FROM s{r - 1} a JOIN adj ON u = a.id JOIN s{r - 1} b ON b.id = v GROUP BY a.id HAVING count(*) >= 4)")
-    return f"WITH {PART}, {', '.join(x.replace(' AS (', ' AS MATERIALIZED (') for x in steps)} SELECT id AS node FROM s{rounds}"
-
-
-@query(_core_sql(14))
-def four_core(spark, d):
-    return centrality.core(derived.copurchase(spark, d)).filter("score >= 4").select("node")
-
-
 # --- triangles and edge scores ---
 
 EDGE_TRIANGLES = f"{TRIANGLES}, side AS (SELECT x AS src, y AS dst FROM tri UNION ALL SELECT x, z FROM tri UNION ALL SELECT y, z FROM tri), te AS (SELECT e.src, e.dst, e.w, count(s.src) AS t FROM edges e LEFT JOIN side s ON s.src = e.src AND s.dst = e.dst GROUP BY 1, 2, 3), td AS (SELECT te.*, a.d AS ds, b.d AS dd FROM te JOIN deg a ON a.id = src JOIN deg b ON b.id = dst)"
@@ -238,13 +227,13 @@ def adamic_adar_distance(spark, d):
     return rounded(scores.adamic_adar_distance(derived.copurchase(spark, d)), 9)
 
 
-@query(f"WITH {PART} SELECT src, dst, w, round(w / sqrt(a.wd * b.wd), 9) AS score FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst")
+@query(f"WITH {KEPT} SELECT src, dst, w, round(w / sqrt(a.wd * b.wd), 9) AS score FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst")
 def geometric_mean_score(spark, d):
     g = derived.copurchase(spark, d)
     return rounded(scores.geometric_mean(g.edges.withColumn("score", F.col("w"))), 9)
 
 
-@query(f"WITH {PART} SELECT src, dst, w, round(greatest(1 - pow(1 - w / a.wd, a.d - 1), 1 - pow(1 - w / b.wd, b.d - 1)), 9) AS score FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst")
+@query(f"WITH {KEPT} SELECT src, dst, w, round(greatest(1 - pow(1 - w / a.wd, a.d - 1), 1 - pow(1 - w / b.wd, b.d - 1)), 9) AS score FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst")
 def multiscale_score(spark, d):
     g = derived.copurchase(spark, d)
     return rounded(scores.multiscale(g.edges.withColumn("score", F.col("w"))), 9)

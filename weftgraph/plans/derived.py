@@ -77,3 +77,28 @@ BASKET = """edges AS (SELECT DISTINCT greatest(o_custkey, l_partkey + (SELECT ma
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49),
   nodes AS (SELECT DISTINCT id FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges)),
   adj AS (SELECT src AS u, dst AS v, w FROM edges UNION ALL SELECT dst, src, w FROM edges)"""
+
+
+def heavy(spark: SparkSession, sf_dir: str) -> Graph:
+    """Undirected, weighted: pairs of different nations whose trade is over the mean of all pairs."""
+    both = trade(spark, sf_dir).edges.filter("src <> dst").select(*canonical(), "w").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    mean = both.agg(F.avg("w").alias("mean"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    return graph(both.crossJoin(mean).filter("w > 1.1 * mean").drop("mean"), nodes, w="w").kept()  # one row
+
+
+def flows(spark: SparkSession, sf_dir: str) -> Graph:
+    """Directed, weighted: the same over ordered pairs."""
+    rows = trade(spark, sf_dir).edges.filter("src <> dst")
+    mean = rows.agg(F.avg("w").alias("mean"))
+    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    return graph(rows.crossJoin(mean).filter("w > 1.15 * mean").drop("mean"), nodes, directed=True, w="w").kept()  # one row
+
+
+_ALL = TRADE.replace("nodes AS", "nodes AS MATERIALIZED").replace("edges AS (", "every AS MATERIALIZED (").split(", adj AS")[0]
+HEAVY = f"""{_ALL}, pairs AS MATERIALIZED (SELECT greatest(src, dst) AS src, least(src, dst) AS dst, sum(w) AS w FROM every WHERE src <> dst GROUP BY 1, 2),
+  edges AS MATERIALIZED (SELECT * FROM pairs WHERE w > 1.1 * (SELECT avg(w) FROM pairs)),
+  adj AS MATERIALIZED (SELECT src AS u, dst AS v, w FROM edges UNION ALL SELECT dst, src, w FROM edges),
+  deg AS MATERIALIZED (SELECT id, count(v) AS d, coalesce(sum(w), 0) AS wd FROM nodes LEFT JOIN adj ON id = u GROUP BY id)"""
+FLOWS = f"""{_ALL}, edges AS MATERIALIZED (SELECT * FROM every WHERE src <> dst AND w > 1.15 * (SELECT avg(w) FROM every WHERE src <> dst)),
+  adj AS MATERIALIZED (SELECT src AS u, dst AS v, w FROM edges)"""
