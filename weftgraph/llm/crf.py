@@ -229,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, held: Column, sample: i
                 yield {"doc_id": batch.column(0)[a:b], "label": batch.column(1)[a:b], "n": n, "hashes": hashes}
 
     seen = cut(arrow_map(joined, kernel, "doc_id long, label int, n long, hashes binary"))
-    got = seen.filter(F.col("doc_id").isin(within(seen, most))).toPandas().sort_values("doc_id", kind="stable")
-    return train([(np.frombuffer(h, U64).reshape(len(KINDS), -1), int(y)) for h, y in zip(got["hashes"], got["label"], strict=True)])
+    got = within(seen, most).select("doc_id", "label", "hashes").toArrow().sort_by("doc_id")
+    return train([(np.frombuffer(h.as_buffer(), U64).reshape(len(KINDS), -1), y.as_py()) for h, y in zip(got["hashes"], got["label"], strict=True)])
 
 
 def offsets(text: bytes, which: list[int]) -> list[tuple[int, int]]:

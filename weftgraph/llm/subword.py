@@ -86,22 +86,24 @@ def sampled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFram
     return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
-def within(sizes: DataFrame, most: int) -> list[int]:
-    """doc_ids of sampled rows ``(doc_id, n)``, in the order of a hash, as long as their sizes stay
-    under ``most`` in all; what does not fit is passed over for what comes after it."""
-    rows = sizes.select("doc_id", "n", F.xxhash64("doc_id").alias("h")).collect()  # a bounded sample
+def within(seen: DataFrame, most: int) -> DataFrame:
+    """Rows ``(doc_id, n, ...)`` of a bounded sample, in the order of a hash of doc_id, as long as
+    their sizes n stay under ``most`` in all; what does not fit is passed over for what comes after it."""
+    rows = seen.select("doc_id", "n", F.xxhash64("doc_id").alias("h")).collect()
     total, fine = 0, []
     for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"])):
         if total + r["n"] <= most:
             total += r["n"]
-            fine.append(r["doc_id"])
-    return fine
+            fine.append((r["doc_id"],))
+    if len(fine) == len(rows):
+        return seen
+    return seen.join(F.broadcast(seen.sparkSession.createDataFrame(fine, "doc_id long")), "doc_id", "left_semi")
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, dim: int = 8, epochs: int = 8, rate: float = 4.0, seed: int = 7) -> np.ndarray:
     """Score difference of the two classes for each bucket, and a bias at the end.
 
-    ``rows``: buckets, weights that sum to 1 (or nothing), and label of each document."""
+    ``rows``: buckets, how often each occurs, and label of each document."""
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -111,9 +113,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
-            at, weight, y = rows[i]
+            at, count, y = rows[i]
             if not len(at):
                 continue
+            at, weight = at.astype(np.int64), (count / count.sum(dtype=np.int64)).astype(np.float32)
             lr = rate * (1 - done / steps)
             done += 1
             v = vectors[at]
@@ -130,24 +133,24 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS
     return np.append(vectors @ difference, bias[1] - bias[0]).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str, held: Column, sample: int = 6000, most: int = 12_000_000, key: str = "doc_id", text: str = "text", **how) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, column: str, held: Column, sample: int = 6000, most: int = 8_000_000, key: str = "doc_id", text: str = "text", **how) -> np.ndarray:
     """Folded weights from labelled documents outside ``held`` (a condition on doc_id)."""
     joined = sampled(docs, cut(labelled(labels, column, held, sample)), key, text)
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            at, weight = [], []
+            at, count = [], []
             for t in texts:
                 h, _ = features([t])
                 b, n = np.unique(h, return_counts=True)
-                at.append(b.astype(np.int32).tobytes())
-                weight.append((n / max(1, n.sum())).astype(np.float32).tobytes())
-            yield {"doc_id": batch.column(0), "label": batch.column(1), "n": [len(x) // 4 for x in at], "at": at, "weight": weight}
+                at.append(b.astype("<u2").tobytes())  # BUCKETS of them
+                count.append(np.minimum(n, 65535).astype("<u2").tobytes())
+            yield {"doc_id": batch.column(0), "label": batch.column(1), "n": [len(x) // 2 for x in at], "at": at, "count": count}
 
-    seen = cut(arrow_map(joined, kernel, "doc_id long, label int, n long, at binary, weight binary"))
-    got = seen.filter(F.col("doc_id").isin(within(seen, most))).toPandas().sort_values("doc_id", kind="stable")
-    rows = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float32), int(y)) for y, a, w in zip(got["label"], got["at"], got["weight"], strict=True)]
+    seen = cut(arrow_map(joined, kernel, "doc_id long, label int, n long, at binary, count binary"))
+    got = within(seen, most).select("doc_id", "label", "at", "count").toArrow().sort_by("doc_id")
+    rows = [(np.frombuffer(a.as_buffer(), "<u2"), np.frombuffer(n.as_buffer(), "<u2"), y.as_py()) for y, a, n in zip(got["label"], got["at"], got["count"], strict=True)]
     return train(rows, **how)
 
 
