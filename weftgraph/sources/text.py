@@ -10,12 +10,12 @@ from weftgraph.graph import Graph, graph
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line, value)``: lines in order from 0. The file's splits are numbered by their place."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    part = F.shiftright("at", 33)
-    sizes = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
-    shift = sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))  # a row for each split
-    return rows.withColumn("p", part).join(F.broadcast(shift), "p").select((F.col("s") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("line"), "value")
+    """``(line, value)``: lines in order from 0, the files of a folder in the order of their names. A
+    split's rows are numbered where they are read, and shifted by the splits before it."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("at"))
+    sizes = rows.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("at").alias("first"))  # a row for each split
+    shift = sizes.select("f", "b", "first", F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))
+    return rows.join(F.broadcast(shift), ["f", "b"]).select((F.col("s") + F.col("at") - F.col("first")).alias("line"), "value")
 
 
 def read_edge_list(spark: SparkSession, path: str, separator: str = "\t", first: int = 0, comment: str = "#", continuous: bool = True, directed: bool = False) -> tuple[Graph, DataFrame | None]:
