@@ -165,3 +165,83 @@ def random_neighbour(g: Graph, seed: int) -> DataFrame:
 def ranking(scores: DataFrame, key: str = "node", score: str = "score") -> DataFrame:
     """``(…, rank)``: by score downwards, then id. A global order: for reports."""
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), key)))
+
+
+# --- questions about single nodes and edges ---
+
+
+def has_node(g: Graph, u: int) -> bool:
+    return g.nodes.filter(F.col("id") == u).limit(1).count() > 0
+
+
+def edges_between(g: Graph, u: int, v: int) -> DataFrame:
+    """The edges from u to v (either way if undirected)."""
+    if g.directed:
+        return g.edges.filter((F.col("src") == u) & (F.col("dst") == v))
+    return g.edges.filter((F.col("src") == max(u, v)) & (F.col("dst") == min(u, v)))
+
+
+def has_edge(g: Graph, u: int, v: int) -> bool:
+    return edges_between(g, u, v).limit(1).count() > 0
+
+
+def weight(g: Graph, u: int, v: int) -> float:
+    """Of the edge between u and v, 0 if there is none."""
+    row = edges_between(g, u, v).agg(F.min("w")).first()
+    return row[0] or 0.0
+
+
+def with_weight(g: Graph, u: int, v: int, w: float) -> Graph:
+    """The edge u-v, made if there is none, with weight w."""
+    a, b = (u, v) if g.directed else (max(u, v), min(u, v))
+    rest = g.edges.select("src", "dst", "w").filter(~((F.col("src") == a) & (F.col("dst") == b)))
+    ends = g.spark.createDataFrame([(u,), (v,)], "id long")
+    return replace(g, nodes=g.nodes.unionByName(ends).distinct(), edges=rest.unionByName(g.spark.createDataFrame([(a, b, float(w))], "src long, dst long, w double")), weighted=True)
+
+
+def isolated(g: Graph) -> DataFrame:
+    """``(id)`` of nodes without edges to other nodes or themselves."""
+    ends = g.edges.select(F.col("src").alias("id")).unionByName(g.edges.select(F.col("dst").alias("id")))
+    return g.nodes.join(ends, "id", "left_anti")
+
+
+def is_empty(g: Graph) -> bool:
+    return g.nodes.limit(1).count() == 0
+
+
+def id_bound(g: Graph) -> int:
+    """One more than the greatest id."""
+    found = g.nodes.agg(F.max("id")).first()[0]
+    return 0 if found is None else found + 1
+
+
+def total_weight(g: Graph) -> float:
+    return g.edges.agg(F.sum("w")).first()[0] or 0.0
+
+
+def consistent(g: Graph) -> bool:
+    """Edges end at live nodes, undirected ones are canonical and no edge is there twice."""
+    ends = g.edges.select(F.col("src").alias("id")).unionByName(g.edges.select(F.col("dst").alias("id")))
+    loose = ends.join(g.nodes, "id", "left_anti").limit(1).count()
+    turned = 0 if g.directed else g.edges.filter("src < dst").limit(1).count()
+    twice = g.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return not (loose or turned or twice)
+
+
+def without_edges_of(g: Graph, u: int, incoming: bool = True, outgoing: bool = True) -> Graph:
+    """The node stays, its edges go; of a directed graph those into or out of it."""
+    if not g.directed:
+        return replace(g, edges=g.edges.filter((F.col("src") != u) & (F.col("dst") != u)))
+    gone = (F.lit(outgoing) & (F.col("src") == u)) | (F.lit(incoming) & (F.col("dst") == u))
+    return replace(g, edges=g.edges.filter(~gone))
+
+
+def without_all_edges(g: Graph) -> Graph:
+    return replace(g, edges=g.edges.limit(0))
+
+
+def node_pairs(g: Graph, near: DataFrame) -> DataFrame:
+    """``(u, v)``, u < v: pairs of live nodes among candidates ``(u, v)``; all pairs of nodes are never
+    made."""
+    fine = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
+    return fine.join(g.nodes.withColumnRenamed("id", "u"), "u", "left_semi").join(g.nodes.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
