@@ -365,3 +365,121 @@ def edge_ids(spark, d):
     from weftgraph.graph import index_edges
 
     return index_edges(derived.copurchase(spark, d)).edges
+
+
+# --- groups, changes, figures ---
+
+
+def _insertion(spark, d):
+    """The lightest quarter of the heavy trade's edges as insertions, the rest as the graph before."""
+    from weftgraph.graph import numbered, replace
+
+    g = derived.heavy(spark, d)
+    at = numbered(g.edges, ["w", "src", "dst"], "at")
+    late = at.filter("at < 27").select("src", "dst", "w")
+    early = replace(g, edges=at.filter("at >= 27").select("src", "dst", "w")).kept()
+    return g, early, late
+
+
+@query(f"WITH RECURSIVE {HEAVY}, {DIST} SELECT v AS node, d::DOUBLE AS dist FROM dist WHERE s = 0")
+def distances_after_insertion(spark, d):
+    from weftgraph.operators import dynamics
+
+    g, early, late = _insertion(spark, d)
+    old = distances.bfs(early, g.nodes.filter("id = 0")).select("source", "node", "dist")
+    return dynamics.distances_after(g, old, late).select("node", "dist")
+
+
+@query(f"WITH RECURSIVE {HEAVY}, {DIST} SELECT s AS node, min(v) AS component FROM dist GROUP BY s")
+def components_after_insertion(spark, d):
+    from weftgraph.operators import dynamics
+
+    _, early, late = _insertion(spark, d)
+    return dynamics.components_after(components.connected(early), late)
+
+
+@query(f"""WITH {HEAVY}, a AS (SELECT id FROM deg ORDER BY d DESC, id LIMIT 1), hit AS (SELECT v AS id FROM adj WHERE u = (SELECT id FROM a) UNION SELECT id FROM a),
+g AS (SELECT n.id, count(x.v) + (n.id NOT IN (SELECT id FROM hit))::INT AS n FROM nodes n LEFT JOIN (SELECT u, v FROM adj WHERE v NOT IN (SELECT id FROM hit)) x ON x.u = n.id WHERE n.id <> (SELECT id FROM a) GROUP BY n.id)
+SELECT id AS node FROM a UNION ALL SELECT id FROM (SELECT id FROM g ORDER BY n DESC, id LIMIT 1)""")
+def group_degree(spark, d):
+    from weftgraph.operators import groups
+
+    return spark.createDataFrame([(x,) for x in groups.group_degree(derived.heavy(spark, d), 2)], "node long")
+
+
+@query(f"WITH RECURSIVE {FLOWS}, {DIST} SELECT d::DOUBLE AS dist FROM dist WHERE s = (SELECT min(src) FROM edges) AND v = (SELECT max(dst) FROM edges)")
+def source_target_distance(spark, d):
+    from weftgraph.operators import embedding
+
+    g = derived.flows(spark, d)
+    a, b = g.edges.agg(F.min("src"), F.max("dst")).first()
+    found = embedding.between_two(g, a, b)
+    return spark.createDataFrame([] if found is None else [(found,)], "dist double")
+
+
+@query(f"""WITH RECURSIVE {HEAVY}, c AS (SELECT [id] AS c FROM nodes UNION ALL SELECT list_append(c.c, adj.v) FROM c JOIN adj ON adj.u = c.c[1] AND adj.v > c.c[-1]
+  WHERE (SELECT count(*) FROM adj x WHERE x.u = adj.v AND list_contains(c.c, x.v)) = len(c.c))
+SELECT c AS clique FROM c WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE (SELECT count(*) FROM adj x WHERE x.u = n.id AND list_contains(c.c, x.v)) = len(c.c))""")
+def maximal_cliques(spark, d):
+    from weftgraph.operators import local
+
+    return local.maximal_cliques(derived.heavy(spark, d))
+
+
+@query(f"WITH {PART}, r AS (SELECT d, row_number() OVER (ORDER BY d) AS i FROM deg) SELECT round(2.0 * sum(d * i) / (count(*) * sum(d)) - (count(*) + 1.0) / count(*), 9) AS gini FROM r")
+def degree_gini(spark, d):
+    from weftgraph import functions
+
+    return rounded(functions.gini(centrality.degree(derived.copurchase(spark, d))), 9)
+
+
+@query(f"WITH {PART} SELECT id AS node, (2 * rank() OVER (ORDER BY d DESC) + count(*) OVER (PARTITION BY d) - 1) / 2.0 AS rank FROM deg")
+def degree_ranks(spark, d):
+    from weftgraph import functions
+
+    return functions.ranked(centrality.degree(derived.copurchase(spark, d)))
+
+
+@query(f"WITH {PART}, a AS (SELECT id, (2 * rank() OVER (ORDER BY d DESC) + count(*) OVER (PARTITION BY d) - 1) / 2.0 AS x, (2 * rank() OVER (ORDER BY wd DESC) + count(*) OVER (PARTITION BY wd) - 1) / 2.0 AS y FROM deg) SELECT round(corr(x, y), 9) AS correlation FROM a")
+def degree_weight_correlation(spark, d):
+    from weftgraph import functions
+
+    deg = derived.copurchase(spark, d).degrees()
+    a, b = deg.select(F.col("id").alias("node"), F.col("degree").alias("score")), deg.select(F.col("id").alias("node"), F.col("weighted").alias("score"))
+    return rounded(functions.correlation(a, b), 9)
+
+
+@query(f"WITH {PART}, {TRIANGLES}, c AS (SELECT deg.d, CASE WHEN d < 2 THEN 0 ELSE 2.0 * coalesce(t, 0) / (d * (d - 1)) END AS s FROM deg LEFT JOIN tn USING (id)) SELECT d AS degree, round(avg(s), 9) AS score, count(*) AS n FROM c GROUP BY d")
+def clustering_per_degree(spark, d):
+    from weftgraph import functions
+
+    g = derived.copurchase(spark, d)
+    return rounded(functions.per_degree(g, centrality.local_clustering(g)), 9)
+
+
+@query(f"WITH {PART} SELECT id FROM deg WHERE d = 0")
+def isolated_nodes(spark, d):
+    return tools.isolated(derived.copurchase(spark, d))
+
+
+@query(f"WITH {TRADE} SELECT src, dst, w FROM edges WHERE src <> 3")
+def without_out_edges(spark, d):
+    return tools.without_edges_of(derived.trade(spark, d), 3, incoming=False).edges
+
+
+@query(f"""WITH {HEAVY}, p AS MATERIALIZED (SELECT a.id AS u, b.id AS v, CASE WHEN a.d > b.d THEN b.id ELSE a.id END AS s, CASE WHEN a.d > b.d THEN a.id ELSE b.id END AS t FROM deg a JOIN deg b ON a.id < b.id),
+f1 AS (SELECT s.s, adj.v AS t, count(*) AS k FROM (SELECT DISTINCT s, s AS x FROM p) s JOIN adj ON adj.u = s.x GROUP BY 1, 2), f2 AS (SELECT s, adj.v AS t, count(*) AS k FROM f1 JOIN adj ON adj.u = f1.t GROUP BY 1, 2), f3 AS (SELECT s, adj.v AS t, count(*) AS k FROM f2 JOIN adj ON adj.u = f2.t GROUP BY 1, 2),
+h AS (SELECT s, t, k * 0.05 AS x FROM f1 UNION ALL SELECT s, t, k * 0.05 ** 2 FROM f2 UNION ALL SELECT s, t, k * 0.05 ** 3 FROM f3)
+SELECT u, v, round(coalesce(sum(x), 0), 9) AS score FROM p LEFT JOIN h ON h.s = p.s AND h.t = p.t GROUP BY 1, 2""")
+def katz_index(spark, d):
+    g = derived.heavy(spark, d)
+    ids = g.nodes.select(F.col("id").alias("v"))
+    pairs = tools.node_pairs(g, g.nodes.select(F.col("id").alias("u")).join(ids, F.col("u") < F.col("v")))  # 25 nodes
+    return rounded(linkprediction.katz_index(g, pairs, 3, 0.05), 9)
+
+
+@query(f"""WITH {PART}, {WEDGE}, ev AS (SELECT count(*) AS n FROM cand WHERE c >= 2) SELECT (SELECT n FROM ev) AS links, count(*) AS candidates FROM cand""")
+def link_counts(spark, d):
+    g = derived.copurchase(spark, d)
+    found = linkprediction.indices(g, linkprediction.candidates(g))
+    return found.agg(F.sum((F.col("common_neighbors") >= 2).cast("long")).alias("links"), F.count("*").alias("candidates"))
