@@ -382,25 +382,34 @@ def nominal_assortativity(spark, d):
 
 # --- components, distances ---
 
-REACH = "reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT r.a, adj.v FROM reach r JOIN adj ON adj.u = r.b)"
+def _least_sql(rounds: int = 10) -> str:
+    """Each node takes the least label around it, again and again: components of up to that radius."""
+    steps = ["l0 AS MATERIALIZED (SELECT id, id AS c FROM nodes)"]
+    for k in range(rounds):
+        steps.append(f"l{k + 1} AS MATERIALIZED (SELECT l.id, least(l.c, coalesce(min(m.c), l.c)) AS c FROM l{k} l LEFT JOIN adj ON adj.u = l.id LEFT JOIN l{k} m ON m.id = adj.v GROUP BY l.id, l.c)")
+    return f"WITH {BASKET}, {', '.join(steps)}, reached AS (SELECT id AS node, c AS component FROM l{rounds})"
 
 
-@query(f"WITH RECURSIVE {BASKET}, {REACH} SELECT a AS node, min(b) AS component FROM reach GROUP BY a")
+def _layers_sql(rounds: int = 10) -> str:
+    steps = ["r0 AS MATERIALIZED (SELECT max(id) AS id, 0 AS d FROM nodes)"]
+    for k in range(rounds):
+        steps.append(f"r{k + 1} AS MATERIALIZED (SELECT id, min(d) AS d FROM (SELECT id, d FROM r{k} UNION ALL SELECT v, d + 1 FROM r{k} JOIN adj ON u = id) GROUP BY id)")
+    return f"WITH {BASKET}, {', '.join(steps)} SELECT id AS node, d::DOUBLE AS dist FROM r{rounds}"
+
+
+@query(f"{_least_sql()} SELECT node, component FROM reached")
 def connected_components(spark, d):
     return components.connected(derived.basket(spark, d))
 
 
-@query(f"WITH RECURSIVE {BASKET}, {REACH}, c AS (SELECT a, min(b) AS b FROM reach GROUP BY a) SELECT b AS component, count(*) AS size FROM c GROUP BY b")
+@query(f"{_least_sql()} SELECT component, count(*) AS size FROM reached GROUP BY component")
 def component_sizes(spark, d):
     return components.sizes(components.connected(derived.basket(spark, d)))
 
 
-HOPS = "h AS (SELECT id AS s, id AS v, 0 AS k FROM nodes WHERE id = (SELECT max(id) FROM nodes) UNION SELECT h.s, adj.v, k + 1 FROM h JOIN adj ON adj.u = h.v WHERE k < 30)"
-
-
-@query(f"WITH RECURSIVE {BASKET}, {HOPS} SELECT v AS node, min(k)::DOUBLE AS dist FROM h GROUP BY v")
+@query(_layers_sql())
 def bfs_distances(spark, d):
-    g = derived.basket(spark, d).kept()
+    g = derived.basket(spark, d)
     return distances.bfs(g, g.nodes.agg(F.max("id").alias("id"))).select("node", "dist")
 
 

@@ -4,8 +4,8 @@ are computed once, so that a query reads each table once however often it uses t
 * ``trade``: directed, weighted, nation of the customer -> nation of the supplier, w = line items;
 * ``copurchase(least)``: undirected, weighted, parts bought together in at least ``least`` orders
   (nodes: all parts, so that there are isolated ones);
-* ``basket``: bipartite, customer - part (ids shifted beyond the customers') of line items over
-  49 pieces;
+* ``basket``: bipartite, customer - part (ids shifted beyond the customers') of all line items;
+* ``heavy``, ``flows``: the pairs of nations that trade more than most, undirected and directed;
 * ``brands`` and ``sizes``: partitions of the parts.
 """
 
@@ -43,7 +43,7 @@ def copurchase(spark: SparkSession, sf_dir: str, least: int = 2) -> Graph:
 
 def basket(spark: SparkSession, sf_dir: str) -> Graph:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select("l_orderkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     shift = table(spark, sf_dir, "customer").agg((F.max("c_custkey") + 1).alias("shift"))
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).crossJoin(shift)  # one row
     edges = rows.select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + F.col("shift")).alias("dst")).select(*canonical()).distinct()
@@ -72,11 +72,11 @@ def copurchase_sql(least: int = 2) -> str:
   size_of AS (SELECT p_partkey AS node, p_size::BIGINT AS block FROM part), brand_of AS (SELECT p_partkey AS node, p_brand AS block FROM part)"""
 
 
-BASKET = """edges AS (SELECT DISTINCT greatest(o_custkey, l_partkey + (SELECT max(c_custkey) + 1 FROM customer)) AS src,
+BASKET = """edges AS MATERIALIZED (SELECT DISTINCT greatest(o_custkey, l_partkey + (SELECT max(c_custkey) + 1 FROM customer)) AS src,
   least(o_custkey, l_partkey + (SELECT max(c_custkey) + 1 FROM customer)) AS dst, 1.0::DOUBLE AS w
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49),
-  nodes AS (SELECT DISTINCT id FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges)),
-  adj AS (SELECT src AS u, dst AS v, w FROM edges UNION ALL SELECT dst, src, w FROM edges)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  nodes AS MATERIALIZED (SELECT DISTINCT id FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges)),
+  adj AS MATERIALIZED (SELECT src AS u, dst AS v, w FROM edges UNION ALL SELECT dst, src, w FROM edges)"""
 
 
 def heavy(spark: SparkSession, sf_dir: str) -> Graph:
