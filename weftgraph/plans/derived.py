@@ -3,7 +3,7 @@ are computed once, so that a query reads each table once however often it uses t
 
 * ``trade``: directed, weighted, nation of the customer -> nation of the supplier, w = line items;
 * ``copurchase(least)``: undirected, weighted, parts bought together in at least ``least`` orders
-  (nodes: all parts, so that there are isolated ones);
+  (nodes: all parts); with 1 the whole graph, with 2 one with isolated nodes for queries over pairs at two steps;
 * ``basket``: bipartite, customer - part (ids shifted beyond the customers') of all line items;
 * ``heavy``, ``flows``: the pairs of nations that trade more than most, undirected and directed;
 * ``brands`` and ``sizes``: partitions of the parts.

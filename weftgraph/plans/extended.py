@@ -483,33 +483,3 @@ def link_counts(spark, d):
     g = derived.copurchase(spark, d)
     found = linkprediction.indices(g, linkprediction.candidates(g))
     return found.agg(F.sum((F.col("common_neighbors") >= 2).cast("long")).alias("links"), F.count("*").alias("candidates"))
-
-
-# --- the co-purchase graph with the pairs bought together once ---
-
-WHOLE = derived.copurchase_sql(1)
-
-
-@query(f"WITH {WHOLE} SELECT d AS degree, count(*) AS n FROM deg GROUP BY d")
-def whole_degree_distribution(spark, d):
-    return tools.degree_distribution(derived.copurchase(spark, d, 1))
-
-
-@query(f"WITH {WHOLE}, {BLOCKS} SELECT round(coalesce((SELECT sum(w) FROM e2 WHERE a = b), 0) / (SELECT sum(w) FROM e2) - (SELECT sum(vol * vol) FROM vol) / (4 * pow((SELECT sum(w) FROM e2), 2)), 9) AS modularity")
-def whole_modularity(spark, d):
-    return rounded(community.modularity(derived.copurchase(spark, d, 1), derived.sizes(spark, d)), 9)
-
-
-@query(f"WITH {WHOLE}, {BLOCKS} SELECT greatest(a, b) AS src, least(a, b) AS dst, sum(w) AS w FROM e2 GROUP BY 1, 2")
-def whole_coarsening(spark, d):
-    return community.coarsen(derived.copurchase(spark, d, 1), derived.sizes(spark, d)).edges
-
-
-@query(f"WITH {WHOLE} SELECT src, dst, w, round(w / sqrt(a.wd * b.wd), 9) AS score FROM edges JOIN deg a ON a.id = src JOIN deg b ON b.id = dst".replace(" AS (SELECT", " AS MATERIALIZED (SELECT"))
-def whole_geometric_mean_score(spark, d):
-    return rounded(scores.geometric_mean(derived.copurchase(spark, d, 1).edges.withColumn("score", F.col("w"))), 9)
-
-
-@query(f"WITH {WHOLE} SELECT id AS node, d::DOUBLE AS score FROM deg")
-def whole_degree_centrality(spark, d):
-    return centrality.degree(derived.copurchase(spark, d, 1))
