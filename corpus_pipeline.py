@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), where ``docs`` is what its predecessor returned, written
 as Parquet and read again, and works on all of it. All stages but the last return the columns of
 documents; the last adds ``copy``.
+
+Odd input: null texts and texts without words are one group of the near-dedup stage, so one of them
+stays at most; rows without a doc_id or with a repeated one
+are judged by their texts; very long texts go through whole; an empty table gives an empty result; other
+columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -35,6 +40,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:  # what the stage before wrote is not read again
+                gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+                gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return docs
 
 
