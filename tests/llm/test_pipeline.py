@@ -34,3 +34,10 @@ def test_stages_work_on_what_the_one_before_kept(spark, folder, docs, tmp_path):
 
 def test_run_returns_the_last_stage(spark, folder):
     assert "copy" in corpus_pipeline.run(spark, folder).columns
+
+
+def test_run_on_nothing(spark, nothing, folder, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
