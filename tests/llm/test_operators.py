@@ -145,6 +145,40 @@ def test_language_model_of_nothing(spark, nothing):
         assert ngram.score(nothing, ngram.remainder("doc_id", 5) == 1, most_broadcast=most).count() == 0
 
 
+def shuffled(spark) -> int:
+    """Bytes written by all shuffles so far."""
+    jvm = spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_ngrams_beyond_the_broadcast_travel_once(spark):
+    """A corpus too large for a broadcast filter: 16 texts of 40,000 words in 16 tasks, whose n-grams
+    travelled twice with all their bits, to be asked for in small parcels."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{min(int(r.paretovariate(0.7)), 50_000)}" for _ in range(40_000)) for _ in range(16)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16, "doc_id").cache()
+    held = ngram.remainder("doc_id", 5) == 1
+    before = shuffled(spark)
+    asked = ngram.score(docs, held, most_broadcast=0).collect()
+    written = shuffled(spark) - before
+    docs.unpersist()
+    assert written < 7 * sum(map(len, texts)) // 4
+    cast = ngram.score(docs, held).collect()
+    assert sorted(r["doc_id"] for r in asked) == list(range(16))
+    for x, y in zip(sorted(asked), sorted(cast), strict=True):
+        assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9)
+
+
+def test_language_model_does_not_see_the_text_before(spark, docs):
+    """With a crowded filter the first triple of a text was read with the end of another text."""
+    held = ngram.remainder("doc_id", 5) == 1
+    one, two = (sorted(round(r["score"], 6) for r in ngram.score(docs.repartition(n, "doc_id"), held, bits_per_key=2).collect()) for n in (1, 5))
+    assert one == two
+
+
 # --- 3 pages ---
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.lineage import cut
 
-__all__ = ["arrow_map", "chunks", "cut", "remainder", "slices", "table", "tags", "utf8"]
+__all__ = ["arrow_map", "chunks", "cut", "pack", "remainder", "slices", "table", "tags", "unpack", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def pack(*parts: bytes, level: int = 3) -> bytes:
+    head = np.array([len(p) for p in parts], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(parts))
+
+
+def unpack(blob: bytes, n: int) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    ends = np.cumsum(np.frombuffer(data, np.int64, n)) + 8 * n
+    return [data[s:e] for s, e in zip([8 * n, *ends[:-1]], ends, strict=True)]
+
+
 def arrow_map(
     df: DataFrame, kernel: Callable[[Iterable[pa.RecordBatch]], Iterable[dict]], schema: str
 ) -> DataFrame:

@@ -11,9 +11,10 @@ segment's n-grams stay as few however many there are in all.
 Size: each segment has ``bits_per_key`` bits for each key it holds, so the filter grows with the
 distinct n-grams and none is left out. All words are kept, and all pairs and triples seen at least
 twice (``LEAST``, at every size): one seen once tells only of the text it stands in, which would
-score its own words as known. If the segments are ``most_broadcast`` bytes at most, they are
-collected and broadcast; beyond, the n-grams of texts travel to the segments instead and their
-levels come back (``ask``), with the same result.
+score its own words as known. If the texts are so few that the segments cannot exceed
+``most_broadcast`` bytes, these are collected and broadcast. Beyond, the n-grams of packed texts
+travel once, to the task of their segments, which counts them, sets the bits, reads the levels of
+all n-grams it got and sends these back (``ask``), with the same result.
 
 Probability of a word w after g h, each order interpolated with the one below:
 ``p1 = (c(w) + 1/2) / (N + (V + 1) / 2)``, ``p2 = k * c(h w) / (f * c(h)) + (1 - k) * p1``, and p3
@@ -24,6 +25,7 @@ a mean over histories, probabilities sum to 1 on average over the histories of a
 
 The base score needs exact counts: words among the ``head`` most frequent (a bounded table) are
 looked up where the text is; the others travel as (hash, row) in packed form and are joined with the counts.
+In ``ask`` the counts of words come back along with the levels.
 
 Words are lower-cased (A-Z) and identified by 64-bit hashes. Null texts are empty: one token, the
 end. A null doc_id counts as an empty text in the split. Rows that repeat a doc_id are scored each
@@ -44,13 +46,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, chunks, cut, remainder, table, utf8
+from weftgraph.llm.common import arrow_map, chunks, cut, pack, remainder, slices, table, unpack, utf8
 from weftgraph.llm.vectext import U64, Words, mix
 
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 LEVELS = 80
 LEAST = np.array([1.0, 2.0, 2.0])
 LOW = U64(0xFFFFFFFF)
+UNIT = 8 << 20  # bytes of text that travel as one
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,8 +76,8 @@ def pair(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def triple(before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Of the word two before each token, and the token's pair. The first of a text has none, but
-    its hash (of what precedes in the batch) is never read."""
+    """Of the word two before each token, and the token's pair. The first of a text has none; its
+    hash (of what precedes in the batch) is neither counted nor read."""
     return mix(np.roll(before, 1) * U64(0xA0761D6478BD642F) + pairs + U64(1))
 
 
@@ -175,6 +178,13 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("text"), kernel, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def later(n: np.ndarray) -> np.ndarray:
+    """Which tokens are not the first of their text."""
+    inner = np.ones(int(n.sum()), bool)
+    inner[np.cumsum(n) - n] = False
+    return inner
+
+
 def orders(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """Hash of the word, the pair and the triple that end at each token, and tokens by text."""
     after, before, n = tokens(texts)
@@ -219,9 +229,7 @@ def segments_of(rows: DataFrame, segments: int, bits_per_key: int) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 hashes, n = orders(texts[a:b])
-                inner = np.ones(len(hashes[0]), bool)
-                inner[np.cumsum(n) - n] = False
-                for arrays, h in zip(held, (hashes[0], hashes[1], hashes[2][inner]), strict=True):
+                for arrays, h in zip(held, (hashes[0], hashes[1], hashes[2][later(n)]), strict=True):
                     arrays.append(h)
                 size += len(hashes[0])
                 if size > 2_000_000:
@@ -333,6 +341,11 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), utf8(text).alias("text"), held.alias("held_out"))
     training = rows.filter(~F.col("held_out"))
+    segments = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    size, texts = training.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+    # A token is a byte and a gap at least, or an end. For each, words have one key at most, pairs and triples 2/3 (of three that are equal).
+    if 7 * ((size + texts) // 2 + texts) * bits_per_key // 24 + 8 * segments > most_broadcast:
+        return asked(rows, segments, bits_per_key)
     counts = cut(word_counts(training))
     # Words by count, on a scale of eight steps for each doubling: a few hundred rows.
     scale = counts.groupBy(F.floor(F.log2("c") * 8).alias("step")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.min("c").alias("least")).toPandas().sort_values("step", ascending=False)
@@ -343,9 +356,8 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
     table_ = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["c"].to_numpy(np.int64)))
     ends = counts.filter(F.col("h") == int(END.view(np.int64))).first()
 
-    segments = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     built = cut(segments_of(training, segments, bits_per_key))
-    size = built.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
+    bloom = spark.sparkContext.broadcast(LogBloom.joined(segments, built.select("part", "bits").toLocalIterator()))
 
     def result(ids, helds, hashes: list[np.ndarray], n: np.ndarray, levels: np.ndarray) -> dict:
         h_, c_ = table_.value
@@ -360,91 +372,196 @@ def score(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text"
             "levels": packed(levels, n), "rare": pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(signed[rare])),
         }
 
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        shape = bloom.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                hashes, n = orders(texts[a:b])
+                words, at = np.unique(hashes[0], return_inverse=True)
+                levels = np.stack([shape.read(*shape.split(words, segments))[at], *(shape.read(*shape.split(h, segments)) for h in hashes[1:])])
+                levels[2][~later(n)] = 0
+                yield result(batch.column(0)[a:b], batch.column(2)[a:b], hashes, n, levels)
+
     schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, levels binary, rare array<long>"
-    if size <= most_broadcast:
-        bloom = spark.sparkContext.broadcast(LogBloom.joined(segments, built.select("part", "bits").toLocalIterator()))
-
-        def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-            shape = bloom.value
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in chunks(texts):
-                    hashes, n = orders(texts[a:b])
-                    words, at = np.unique(hashes[0], return_inverse=True)
-                    levels = np.stack([shape.read(*shape.split(words, segments))[at], *(shape.read(*shape.split(h, segments)) for h in hashes[1:])])
-                    yield result(batch.column(0)[a:b], batch.column(2)[a:b], hashes, n, levels)
-
-        scored = arrow_map(rows, kernel, schema)
-    else:
-        scored = ask(rows, built, segments, result, schema)
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
+    scored = cut(arrow_map(rows, kernel, schema).withColumn("row", F.monotonically_increasing_id()))
     seen = seen_levels(scored.filter(~F.col("held_out")).select("levels"))
     return finish(scored, counts, Model(ends["c"] if ends else 0, total, distinct, 1.5, seen))
 
 
-def ask(rows: DataFrame, built: DataFrame, segments: int, result, schema: str) -> DataFrame:
-    """The same without a broadcast filter. Texts are packed into units of about 1 MB; a unit's
-    distinct n-grams go to the segments' tasks, their levels come back to the unit. Tasks stream:
-    they hold some segments, or one unit."""
-    groups = max(1, segments // 4)
-    s, g = segments.bit_length() - 1, groups.bit_length() - 1
+def asked(rows: DataFrame, segments: int, bits_per_key: int) -> DataFrame:
+    """:func:`score` by :func:`ask`."""
+    scored = cut(ask(rows, segments, bits_per_key).withColumn("row", F.lit(0).cast("long")))
+    training = scored.filter(~F.col("held_out"))
+    texts, total = training.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    distinct = scored.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    return finish(scored, None, Model(texts, total, distinct, 1.5, seen_levels(training.select("levels"))))
+
+
+def planes(x: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` low bytes of each number: all lowest, all second, ..., as they compress best."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+
+
+def unplaned(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+WIDTH = (8, 5, 5)  # bytes of an n-gram's hash within its group of segments; words are told by all bits
+
+
+def ask(rows: DataFrame, segments: int, bits_per_key: int) -> DataFrame:
+    """Texts are packed into units; of each, the distinct n-grams and their counts (zero in units of
+    held-out texts) go to the tasks of their segments as differences, four segments to a task. Such a
+    task counts, builds the segments, reads the levels from them and sends these and the counts of
+    words back to the units. ``words`` adds up to the distinct words of training: a group tells its
+    own to one unit, and a unit to its first text."""
+    groups = segments // 4  # segments: a power of two, 4 at least
+    s, g = segments.bit_length() - 1, segments.bit_length() - 3
+    cover = U64((1 << 34) - 1)  # of a hash in its group: segment and 32 bits
 
     def unit(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                yield {"unit": [number], "ids": [batch.column(0)[a:b].to_pylist()], "helds": [batch.column(2)[a:b].to_pylist()], "texts": [texts[a:b]]}
+        held: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
+        sizes = {False: 0, True: 0}
+
+        def flush(flag: bool) -> dict:
+            ids, texts = held[flag]
+            blob = pack(np.array([len(t) for t in texts], "<i8").tobytes(), b"".join(texts), level=6)
+            held[flag], sizes[flag] = ([], []), 0
+            return {"unit": [number], "held": [flag], "ids": [ids], "texts": [blob]}
+
+        for batch in slices(batches):
+            for key, text, flag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if sizes[flag] and sizes[flag] + len(text) > UNIT:
+                    yield flush(flag)
+                    number += 1
+                held[flag][0].append(key)
+                held[flag][1].append(text)
+                sizes[flag] += len(text) + 1
+        for flag in held:
+            if sizes[flag]:
+                yield flush(flag)
                 number += 1
 
-    def distinct(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        hashes, n = orders(texts)
-        h, at = np.unique(np.concatenate(hashes) >> U64(32 - s), return_inverse=True)
-        return hashes, n, h, at
+    def grams(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+        """Words, pairs and triples of a unit, the latter two by segment and 32 bits, and tokens by text."""
+        sizes, data = unpack(blob, 2)
+        ends = np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
+        texts = [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        each = [orders(texts[a:b]) for a, b in chunks(texts)]
+        hashes, n = [np.concatenate([h[k] for h, _ in each]) for k in range(3)], np.concatenate([n for _, n in each])
+        return [hashes[0], hashes[1] >> U64(32 - s), hashes[2][later(n)] >> U64(32 - s)], n
 
     def question(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for number, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = distinct(texts.as_py())[2]
-                group = (h >> U64(32 + s - g)).astype(np.int64)
-                some = np.flatnonzero(np.diff(group, prepend=-1))
-                ends = np.append(some[1:], len(h))
-                yield {"group": group[some], "kind": [1] * len(some), "number": [number] * len(some), "data": [h[x:y].tobytes() for x, y in zip(some, ends, strict=True)]}
+            for number, flag, blob in zip(*batch.columns, strict=True):
+                shown: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]] = []
+                for order, h in enumerate(grams(blob.as_py())[0]):
+                    h, n = np.unique(h, return_counts=True)
+                    group = (h >> U64(63 - g) >> U64(1)) if order == 0 else h >> U64(34)
+                    begin = np.searchsorted(group, np.arange(groups + 1, dtype=U64))
+                    step = np.diff(h, prepend=U64(0))
+                    first = begin[:-1][begin[:-1] < begin[1:]]
+                    step[first] = h[first] if order == 0 else h[first] & cover
+                    n = np.zeros_like(n) if flag.as_py() else n
+                    shown.append((planes(step, WIDTH[order]), np.minimum(n, 255).astype(np.uint8), n, begin.tolist()))
+                out = []
+                for k in range(groups):
+                    spans = [(x[3][k], x[3][k + 1]) for x in shown]
+                    if any(x < y for x, y in spans):
+                        parts = [(p[:, x:y].tobytes(), few[x:y], n[x:y]) for (p, few, n, _), (x, y) in zip(shown, spans, strict=True)]
+                        many = np.concatenate([n[few == 255] for _, few, n in parts]).astype("<i8")
+                        out.append((k, pack(*(p for p, _, _ in parts), *(few.tobytes() for _, few, _ in parts), many.tobytes())))
+                    if len(out) == 256 or k == groups - 1 and out:
+                        yield {"unit": [number.as_py()] * len(out), "group": [x for x, _ in out], "data": [x for _, x in out]}
+                        out = []
+
+    def count(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, at = np.unique(np.concatenate(h), return_inverse=True)
+        return h, np.bincount(at, np.concatenate(n), len(h)).astype(np.int64), at
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        rows_ = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        shape = LogBloom(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        rows_ = (r for batch in slices(batches, 64) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for group, some in itertools.groupby(rows_, key=lambda r: r[0]):
-            held: list[tuple[int, bytes]] = []
-            bloom = None
-            for _, kind, number, data in some:
-                if kind == 0:
-                    held.append((number & (segments // groups - 1), data))
-                    continue
-                bloom = bloom or LogBloom.joined(segments // groups, held)
-                h = np.frombuffer(data, U64)
-                levels = bloom.read((h >> U64(32)).astype(np.int64) & (segments // groups - 1), h & LOW)
-                yield {"unit": [number], "group": [group], "data": [levels.astype(np.uint8).tobytes()]}
+            units, hashes, times = [], ([], [], []), ([], [], [])
+            for _, number, blob in some:
+                units.append(number)
+                data = unpack(blob, 7)
+                many = np.frombuffer(data[6], "<i8")
+                for order in range(3):
+                    hashes[order].append(np.cumsum(unplaned(data[order], WIDTH[order]), dtype=U64))
+                    n = np.frombuffer(data[3 + order], np.uint8).astype(np.int64)
+                    over = np.flatnonzero(n == 255)
+                    n[over], many = many[: len(over)], many[len(over) :]
+                    times[order].append(n)
+            sizes = [[len(x) for x in h] for h in hashes]
+            words, exact, at = count(hashes[0], times[0])
+            counts = exact[at]
+            # Words whose first bits are equal are one to the filter.
+            first = words >> U64(32 - s) & cover
+            fresh = np.diff(first, prepend=~U64(0)) != 0
+            found = [(first[fresh], np.add.reduceat(exact, np.flatnonzero(fresh)) if len(exact) else exact, (np.cumsum(fresh) - 1)[at])]
+            for order in (1, 2):
+                found.append(count(hashes[order], times[order]))
+                hashes[order].clear()
+            segment = []
+            for k in range(4):
+                each = []
+                for (h, n, _), least in zip(found, LEAST, strict=True):
+                    x, y = np.searchsorted(h, np.array([k << 32, k + 1 << 32], U64)).tolist()
+                    kept = n[x:y] >= least
+                    each.append((h[x:y][kept] & LOW, n[x:y][kept], least))
+                segment.append((k, shape.segment(each, bits_per_key)))
+            bloom = LogBloom.joined(4, segment)
+            levels = []
+            for h, _, at in found:
+                part = (h >> U64(32)).astype(np.int64)
+                read = [bloom.read(part[x : x + (1 << 17)], h[x : x + (1 << 17)] & LOW) for x in range(0, len(h), 1 << 17)]
+                levels.append(np.concatenate([*read, np.zeros(0, np.int64)]).astype(np.uint8)[at])
+            ends = [np.cumsum([0, *x]).tolist() for x in sizes]
+            for i, number in enumerate(units):
+                back = [level[e[i] : e[i + 1]].tobytes() for level, e in zip(levels, ends, strict=True)]
+                data = pack(*back, planes(counts[ends[0][i] : ends[0][i + 1]], 8).tobytes())
+                yield {"unit": [number], "group": [group], "data": [data], "words": [0 if i else np.count_nonzero(exact)]}
 
     def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-        rows_ = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows_ = (r for batch in slices(batches, 64) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for _, some in itertools.groupby(rows_, key=lambda r: r[0]):
-            _, _, ids, helds, texts, _ = next(some)
-            hashes, n, _, at = distinct(texts)
-            level = np.frombuffer(b"".join([r[5] for r in some]), np.uint8).astype(np.int64)[at]
-            yield result(ids, helds, hashes, n, level.reshape(3, -1))
-
-    units = cut(arrow_map(rows, unit, "unit long, ids array<long>, helds array<boolean>, texts array<binary>"))
-    asked = arrow_map(units.select("unit", "texts"), question, "group int, kind int, number long, data binary")
-    known = built.select(F.shiftright("part", s - g).alias("group"), F.lit(0).alias("kind"), F.col("part").cast("long").alias("number"), F.col("bits").alias("data"))
-    answers = arrow_map(known.unionByName(asked).repartition("group").sortWithinPartitions("group", "kind"), answer, "unit long, group int, data binary")
-    void = units.select("unit", F.lit(-1).alias("group"), "ids", "helds", "texts", F.lit(None).cast("binary").alias("data"))
+            _, _, flag, ids, blob, *_ = next(some)
+            some = list(some)
+            hashes, n = grams(blob)
+            back = [unpack(r[5], 4) for r in some]
+            counts = np.concatenate([unplaned(x[3], 8) for x in back]).astype(np.int64)
+            levels = np.zeros((3, int(n.sum())), np.int64)
+            for order, h in enumerate(hashes):
+                at = np.unique(h, return_inverse=True)[1]
+                level = np.frombuffer(b"".join([x[order] for x in back]), np.uint8)
+                if order == 0:
+                    c = counts[at]
+                levels[order][later(n) if order == 2 else slice(None)] = level[at]
+            first = np.cumsum(n) - n
+            yield {
+                "doc_id": ids, "held_out": [flag] * len(ids), "n_tokens": n, "known": np.add.reduceat((c > 0).astype(np.int64), first),
+                "logs": np.add.reduceat(np.log10(c + 0.5), first), "levels": packed(levels, n), "words": [sum(r[6] for r in some), *[0] * (len(ids) - 1)],
+            }
+
+    units = cut(arrow_map(rows.select("doc_id", "text", "held_out"), unit, "unit long, held boolean, ids array<long>, texts binary"))
+    sent = arrow_map(units.select("unit", "held", "texts"), question, "unit long, group int, data binary")
+    dealt = sent.repartitionById(groups, "group").select("group", "unit", "data").sortWithinPartitions("group", "unit")
+    answers = arrow_map(dealt, answer, "unit long, group int, data binary, words long")
+    void = units.select("unit", F.lit(-1).alias("group"), "held", "ids", "texts", F.lit(None).cast("binary").alias("data"), F.lit(0).cast("long").alias("words"))
     both = void.unionByName(answers, allowMissingColumns=True)
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, levels binary, words long"
     return arrow_map(both.repartition("unit").sortWithinPartitions("unit", "group"), finished, schema)
 
 
-def finish(scored: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+def finish(scored: DataFrame, counts: DataFrame | None, model: Model) -> DataFrame:
     """The scores from the levels, and the exact counts of the rare words: each is joined with its
-    count and summed up by row."""
+    count and summed up by row. Without ``counts`` no word is left to join."""
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -452,12 +569,15 @@ def finish(scored: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 yield {k: batch.column(i)[a:b] for i, k in enumerate(("row", "doc_id", "held_out", "known", "logs"))} | {"n_tokens": n, "score": np.add.reduceat(model.log10(level, n), np.cumsum(n) - n)}
 
     out = arrow_map(scored.select("row", "doc_id", "held_out", "known", "logs", "levels"), kernel, "row long, doc_id long, held_out boolean, known long, logs double, n_tokens long, score double")
-    rare = scored.select("row", F.explode("rare").alias("h"))
-    met = rare.join(counts, "h", "left").groupBy("row").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("rest"))
     floor = model.total + 0.5 * (model.distinct + 1)
-    base = F.col("logs") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(floor)))
-    out = out.join(met, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(floor)))
+    known = F.col("known")
+    if counts is not None:
+        rare = scored.select("row", F.explode("rare").alias("h"))
+        met = rare.join(counts, "h", "left").groupBy("row").agg(F.count("c").alias("more"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("rest"))
+        out = out.join(met, "row", "left")
+        base, known = base + F.coalesce("rest", F.lit(0.0)), known + F.coalesce("more", F.lit(0))
+    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op2_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,11 +30,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, chunks, cut, slices, table, utf8
+from weftgraph.llm.common import arrow_map, chunks, cut, pack, slices, table, unpack, utf8
 from weftgraph.llm.vectext import Words, mix, rolling, sliding_min
 
 LIGHT, PLACES, ANSWER = 0, 1, 2
@@ -64,17 +63,6 @@ def super_kmers(words: Words, width: int, mer: int) -> tuple[np.ndarray, np.ndar
     return at[begin], np.diff(np.concatenate((begin, [len(at)]))), value[begin]
 
 
-def _pack(*parts: bytes) -> bytes:
-    head = np.array([len(p) for p in parts], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
-
-
-def _unpack(blob: bytes, n: int) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    ends = np.cumsum(np.frombuffer(data, np.int64, n)) + 8 * n
-    return [data[s:e] for s, e in zip([8 * n, *ends[:-1]], ends, strict=True)]
-
-
 PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("word", "<i4")])
 RANGE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
@@ -115,7 +103,7 @@ def _send(width: int, mer: int, buckets: int, inline: int, most: int):
             rows = by[x:y]
             n = here[rows]
             at = np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            packed = _pack(b"\n".join([texts[i] for i in rows.tolist()]), least[rows].astype("<i8").tobytes(), n.astype("<i4").tobytes(), _columns(places[at]))
+            packed = pack(b"\n".join([texts[i] for i in rows.tolist()]), least[rows].astype("<i8").tobytes(), n.astype("<i4").tobytes(), _columns(places[at]))
             out.append((int(of[rows[0]]), LIGHT, None, packed))
             if len(out) == 64:
                 yield rows_(out)
@@ -125,7 +113,7 @@ def _send(width: int, mer: int, buckets: int, inline: int, most: int):
             # Any bucket will do: these only pass through.
             for at in range(begin[i], begin[i + 1], 4096):
                 some = places[at : min(at + 4096, begin[i + 1])]
-                out.append(((int.from_bytes(digest[:4], "little") + int(some["doc"][0])) % buckets, PLACES, digest, _pack(_columns(some))))
+                out.append(((int.from_bytes(digest[:4], "little") + int(some["doc"][0])) % buckets, PLACES, digest, pack(_columns(some))))
             if len(out) >= 64:
                 yield rows_(out)
                 out = []
@@ -208,7 +196,7 @@ def _count(width: int, inline: int):
     def bucket(blobs: list[bytes]) -> Iterator[tuple[int, bytes | None, bytes]]:
         texts, own, sizes, places = [], [], [], []
         for blob in blobs:
-            t, o, s, p = _unpack(blob, 4)
+            t, o, s, p = unpack(blob, 4)
             texts.append(t)
             own.append(np.frombuffer(o, "<i8"))
             sizes.append(np.frombuffer(s, "<i4"))
@@ -225,7 +213,7 @@ def _count(width: int, inline: int):
         for i in np.flatnonzero(some).tolist():
             own_least = least[begin[i] : begin[i + 1]]
             if sizes[i] == 0:
-                yield ANSWER, hashlib.blake2b(texts[i], digest_size=16).digest(), _pack(own_least.astype("<i8").tobytes())
+                yield ANSWER, hashlib.blake2b(texts[i], digest_size=16).digest(), pack(own_least.astype("<i8").tobytes())
                 continue
             low, high, n = own_least.min(), own_least.max(), len(own_least) + width - 1
             for doc, tag, word in places[ends[i] - sizes[i] : ends[i]].tolist():
@@ -234,7 +222,7 @@ def _count(width: int, inline: int):
                 elif low < doc:
                     found += [(doc, tag, word + s, word + e) for s, e in _runs(own_least, doc, width)]
         if found:
-            yield LIGHT, None, _pack(_columns(np.array(found, RANGE)))
+            yield LIGHT, None, pack(_columns(np.array(found, RANGE)))
 
     def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         def out(rows: Iterable[tuple]) -> Iterator[dict]:
@@ -261,7 +249,7 @@ def _count(width: int, inline: int):
 def _ranges(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for blob in batch.column(0):
-            r = _rows(_unpack(blob.as_py(), 1)[0], RANGE)
+            r = _rows(unpack(blob.as_py(), 1)[0], RANGE)
             yield {"id": r["doc"], "tag": r["tag"], "start": r["start"], "end": r["end"]}
 
 
@@ -270,8 +258,8 @@ def _answered(width: int):
         for batch in batches:
             found = []
             for places, answer in zip(batch.column(0), batch.column(1), strict=True):
-                least = np.frombuffer(_unpack(answer.as_py(), 1)[0], "<i8")
-                for doc, tag, word in _rows(_unpack(places.as_py(), 1)[0], PLACE).tolist():
+                least = np.frombuffer(unpack(answer.as_py(), 1)[0], "<i8")
+                for doc, tag, word in _rows(unpack(places.as_py(), 1)[0], PLACE).tolist():
                     found += [(doc, tag, word + s, word + e) for s, e in _runs(least, doc, width)]
             r = np.array(found, RANGE)
             yield {"id": r["doc"], "tag": r["tag"], "start": r["start"], "end": r["end"]}
