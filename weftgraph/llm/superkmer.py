@@ -306,10 +306,21 @@ def kept_words(text: bytes, ranges) -> tuple[list[bytes], int]:
     return [w for w, s in zip(words, stay.tolist(), strict=True) if s], len(words)
 
 
-def with_ranges(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
-    """``(row, ranges)``: the rows as structs, with what :func:`repeated_ranges` found (or null)."""
+def squeezed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(id, tag, text)``: UTF-8 texts, each by :func:`pack`."""
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in slices(batches):
+            yield {"id": batch.column(0), "tag": batch.column(1), "text": [pack(t) for t in batch.column(2).to_pylist()]}
+
+    return arrow_map(tagged(docs, key, text).select("id", "tag", utf8(text)), kernel, "id long, tag long, text binary")
+
+
+def with_ranges(docs: DataFrame, found: DataFrame, key: str, text: str, tag: str | None = None) -> DataFrame:
+    """``(row, ranges)``: the rows as structs, with what :func:`repeated_ranges` found (or null).
+    ``tag``: the column that holds it, where the text no longer is what was tagged."""
     by = found.groupBy(F.struct("id", "tag").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("ranges")).hint("shuffle_hash")
-    left = docs.select(F.struct(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("tag")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = docs.select(F.struct(F.col(key).cast("long").alias("id"), (F.col(tag) if tag else F.xxhash64(text)).alias("tag")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = (left["key"]["id"] == by["of"]["id"]) & (left["key"]["tag"] == by["of"]["tag"])
     return left.join(by, same, "left").select("row", "ranges")
 
@@ -321,14 +332,15 @@ def op10_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             n, gone, sha = [], [], []
             for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
-                stay, words = kept_words(text.as_py(), ranges.as_py())
+                stay, words = kept_words(unpack(text.as_py(), 1)[0], ranges.as_py())
                 n.append(words)
                 gone.append(words - len(stay))
                 sha.append(hashlib.sha256(b" ".join(stay)).hexdigest())
             yield {"doc_id": batch.column(0), "n_words": n, "n_removed": gone, "kept_sha256": sha}
 
-    joined = with_ranges(docs, repeated_ranges(docs), "doc_id", "text")
-    return arrow_map(joined.select("row.doc_id", utf8("row.text").alias("text"), "ranges"), kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    # Texts travel to their ranges in compressed form.
+    joined = with_ranges(squeezed(docs, "doc_id", "text"), repeated_ranges(docs), "id", "text", "tag")
+    return arrow_map(joined.select("row.id", "row.text", "ranges"), kernel, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
