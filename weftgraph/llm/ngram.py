@@ -53,7 +53,7 @@ END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 LEVELS = 80
 LEAST = np.array([1.0, 2.0, 2.0])
 LOW = U64(0xFFFFFFFF)
-UNIT = 8 << 20  # bytes of text that travel as one
+UNIT = 16 << 20  # bytes of text that travel as one
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -302,7 +302,7 @@ def histories(levels: np.ndarray, n: np.ndarray) -> np.ndarray:
 def packed(levels: np.ndarray, n: np.ndarray) -> list[bytes]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     ends = np.cumsum(n)
-    small = levels.astype(np.uint8)
+    small = levels.astype(np.uint8, copy=False)
     return [squeeze(small[:, x:y].tobytes()) for x, y in zip((ends - n).tolist(), ends.tolist(), strict=True)]
 
 
@@ -453,20 +453,22 @@ def ask(rows: DataFrame, segments: int, bits_per_key: int) -> DataFrame:
         texts = [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
         each = [orders(texts[a:b]) for a, b in chunks(texts)]
         hashes, n = [np.concatenate([h[k] for h, _ in each]) for k in range(3)], np.concatenate([n for _, n in each])
+        del each
         return [hashes[0], hashes[1] >> U64(32 - s), hashes[2][later(n)] >> U64(32 - s)], n
 
     def question(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for number, flag, blob in zip(*batch.columns, strict=True):
                 shown: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]] = []
-                for order, h in enumerate(grams(blob.as_py())[0]):
-                    h, n = np.unique(h, return_counts=True)
+                hashes = grams(blob.as_py())[0]
+                for order in range(3):
+                    h, n = np.unique(hashes.pop(0), return_counts=True)
                     group = (h >> U64(63 - g) >> U64(1)) if order == 0 else h >> U64(34)
                     begin = np.searchsorted(group, np.arange(groups + 1, dtype=U64))
                     step = np.diff(h, prepend=U64(0))
                     first = begin[:-1][begin[:-1] < begin[1:]]
                     step[first] = h[first] if order == 0 else h[first] & cover
-                    n = np.zeros_like(n) if flag.as_py() else n
+                    n = np.zeros(len(n), np.int32) if flag.as_py() else n.astype(np.int32)
                     shown.append((planes(step, WIDTH[order]), np.minimum(n, 255).astype(np.uint8), n, begin.tolist()))
                 out = []
                 for k in range(groups):
@@ -536,9 +538,9 @@ def ask(rows: DataFrame, segments: int, bits_per_key: int) -> DataFrame:
             hashes, n = grams(blob)
             back = [unpack(r[5], 4) for r in some]
             counts = np.concatenate([unplaned(x[3], 8) for x in back]).astype(np.int64)
-            levels = np.zeros((3, int(n.sum())), np.int64)
-            for order, h in enumerate(hashes):
-                at = np.unique(h, return_inverse=True)[1]
+            levels = np.zeros((3, int(n.sum())), np.uint8)
+            for order in range(3):
+                at = np.unique(hashes.pop(0), return_inverse=True)[1]
                 level = np.frombuffer(b"".join([x[order] for x in back]), np.uint8)
                 if order == 0:
                     c = counts[at]
