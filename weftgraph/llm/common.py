@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.lineage import cut
 
-__all__ = ["arrow_map", "chunks", "cut", "pack", "remainder", "slices", "table", "tags", "unpack", "utf8"]
+__all__ = ["arrow_map", "chunks", "cut", "pack", "release", "remainder", "slices", "table", "tags", "unpack", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,16 @@ def unpack(blob: bytes, n: int) -> list[bytes]:
     return [data[s:e] for s, e in zip([8 * n, *ends[:-1]], ends, strict=True)]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Returns freed memory to the system. Workers are used again, and what one keeps from its largest
+    task adds to all that its executor does later."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def arrow_map(
     df: DataFrame, kernel: Callable[[Iterable[pa.RecordBatch]], Iterable[dict]], schema: str
 ) -> DataFrame:
@@ -84,5 +95,6 @@ def arrow_map(
                 ],
                 schema=arrow,
             )
+        release()
 
     return df.mapInArrow(run, fields)

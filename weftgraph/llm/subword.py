@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, chunks, cut, remainder, table, utf8
+from weftgraph.llm.common import arrow_map, chunks, cut, release, remainder, table, utf8
 from weftgraph.llm.vectext import U64, mix, spans
 
 BUCKETS = 1 << 16
@@ -189,11 +189,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def scored(text):
         import pandas as pd
 
-        table_, texts = shared.value, [(t or "").encode() for t in text]
-        z = np.zeros(len(texts))
-        for a, b in chunks(texts, 1 << 19):
-            at, owner = features(texts[a:b], len(table_) - 1)
-            z[a:b] = np.bincount(owner, table_[at], b - a) / np.maximum(np.bincount(owner, minlength=b - a), 1)
+        table_, z = shared.value, np.zeros(len(text))
+        for at_ in range(0, len(text), 1000):
+            texts = [(t or "").encode() for t in text[at_ : at_ + 1000]]
+            for a, b in chunks(texts, 1 << 17):
+                at, owner = features(texts[a:b], len(table_) - 1)
+                z[at_ + a : at_ + b] = np.bincount(owner, table_[at], b - a) / np.maximum(np.bincount(owner, minlength=b - a), 1)
+        release()
         return pd.Series(1 / (1 + np.exp(-(z + table_[-1]))))
 
     return docs.filter(scored("text") >= 0.5)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, chunks, cut, pack, slices, table, unpack, utf8
+from weftgraph.llm.common import arrow_map, chunks, cut, pack, release, slices, table, unpack, utf8
 from weftgraph.llm.vectext import Words, mix, rolling, sliding_min
 
 LIGHT, PLACES, ANSWER = 0, 1, 2
@@ -231,7 +231,7 @@ def _count(width: int, inline: int):
                 k, d, x = zip(*rows[at : at + 512], strict=True)
                 yield {"kind": list(k), "digest": list(d), "blob": list(x)}
 
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows = (row for batch in slices(batches, 64) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for _, group in itertools.groupby(rows, key=lambda r: r[0]):
             light, passing = [], []
             for _, kind, digest, blob in group:
@@ -350,7 +350,9 @@ def dedup_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def rest(text, ranges):
-        return text.combine(ranges, lambda t, r: None if t is None else b" ".join(kept_words(t.encode(), r)[0]).decode("utf-8", "replace"))
+        out = text.combine(ranges, lambda t, r: None if t is None else b" ".join(kept_words(t.encode(), r)[0]).decode("utf-8", "replace"))
+        release()
+        return out
 
     touched = F.col("ranges").isNotNull()
     changed = joined.withColumn("kept", rest(F.when(touched, F.col("row.text")), "ranges"))  # the other texts do not go through Python

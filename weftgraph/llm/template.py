@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, chunks, cut, table, utf8
+from weftgraph.llm.common import arrow_map, chunks, cut, slices, table, utf8
 from weftgraph.llm.vectext import Words, rolling, spans, stripped
 
 # Words that stand for numbers, for units, and that often begin a sentence.
@@ -129,9 +129,9 @@ def _text_windows(docs: DataFrame, key: str, text: str, widths: list[int], liter
             known = wanted.value
             quick = np.zeros(1 << 20, bool)
             quick[known >> np.uint64(44)] = True
-        for batch in batches:
+        for batch in slices(batches):
             ids, tags, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 1 << 18):
                 t = Template(texts[a:b])
                 owner = np.repeat(np.arange(a, b), t.count)
                 for w in widths:

@@ -15,17 +15,20 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 U64 = np.uint64
 
+BLOCK = 1 << 18  # bytes hashed at once
+
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64, kept and grown between calls."""
+    """``base**0 .. base**(n-1)`` modulo 2**64, kept between calls but for those beyond a block."""
     held = _powers.get(base)
     if held is None or len(held) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        factors = np.full(size, base, U64)
+        factors = np.full(max(BLOCK + 1, n), base, U64)
         factors[0] = 1
-        held = _powers[base] = np.cumprod(factors, dtype=U64)
+        held = np.cumprod(factors, dtype=U64)
+        if n <= BLOCK + 1:
+            _powers[base] = held
     return held[:n]
 
 
@@ -83,12 +86,20 @@ class Words:
 
 
 def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte span."""
-    n = len(data)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * powers(INVERSE, n + 1)[start]
-    return mix(h + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+    """Hash of each byte span. Spans are in order; as many as fill a block (one at least) are hashed
+    at once, which changes no hash, as that does not depend on where the sums begin."""
+    out, i = np.zeros(len(start), U64), 0
+    while i < len(start):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(end, base + BLOCK, "right")))
+        s, e = start[i:j] - base, end[i:j] - base
+        n = int(e[-1])
+        sums = np.zeros(n + 1, U64)
+        np.cumsum((data[base : base + n].astype(U64) + U64(1)) * powers(BASE, n), out=sums[1:])
+        h = (sums[e] - sums[s]) * powers(INVERSE, n + 1)[s]
+        out[i:j] = mix(h + (e - s).astype(U64) * U64(0xA24BAED4963EE407))
+        i = j
+    return out
 
 
 PUNCTUATION = np.zeros(256, bool)
