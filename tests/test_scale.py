@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 
 from weftgraph.graph import graph, spread
+from weftgraph.operators import triangles
 from weftgraph.plans import catalogue, derived
 
 
@@ -33,3 +34,20 @@ def test_copurchase_tasks_do_not_grow(spark, tmp_path, monkeypatch):
         assert {(r["src"], r["dst"]): r["w"] for r in g.edges.collect()} == {e: w for e, w in want.items() if w >= least}
         assert g.edges.rdd.getNumPartitions() == 32  # merged to about as many as cores before
         assert g.weighted and not g.directed and g.nodes.count() == 97
+
+
+@pytest.mark.parametrize(("nodes", "edges", "base", "colours", "hubs"), [(12, 30, 0, 1, 200_000), (150, 2500, -5, 3, 20), (200, 3000, 1 << 40, 5, 0), (50, 0, 0, 2, 5)])
+def test_triangles_without_travelling_wedges(spark, monkeypatch, nodes, edges, base, colours, hubs):
+    monkeypatch.setattr(triangles, "_colours", lambda m: colours)
+    monkeypatch.setattr(triangles, "HUBS", hubs)
+    # A hub at all nodes, self-loops and repeated edges.
+    ends = [(x * x % nodes, (x * 7 + x // nodes * 11) % nodes) for x in range(edges)] + [(0, x) for x in range(nodes if edges else 0)]
+    g = graph(spark.createDataFrame([(base + a, base + b) for a, b in ends], "src long, dst long"), spark.range(base, base + nodes))
+    pairs = {(base + max(a, b), base + min(a, b)) for a, b in ends if a != b}
+    near = {x: {b if a == x else a for a, b in pairs if x in (a, b)} for x in range(base, base + nodes)}
+    found = triangles.triangles(g)
+    assert "LeftSemi" not in found._jdf.queryExecution().toString()  # wedges met the edges in a join before
+    assert Counter(tuple(sorted(r)) for r in found.collect()) == Counter({tuple(sorted((a, b, c))) for a, b in pairs for c in near[a] & near[b]})
+    got = triangles.edge_triangles(g)
+    assert got.count() == len(ends)
+    assert {(r["src"], r["dst"]): r["score"] for r in got.filter("src <> dst").collect()} == {(a, b): len(near[a] & near[b]) for a, b in pairs}
