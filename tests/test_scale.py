@@ -6,8 +6,8 @@ from itertools import combinations
 import pytest
 
 from weftgraph.graph import graph, spread
-from weftgraph.operators import triangles
-from weftgraph.plans import catalogue, derived
+from weftgraph.operators import distances, triangles
+from weftgraph.plans import catalogue, derived, extended  # noqa: F401 (registers its queries)
 
 
 def write(spark, folder, **tables):
@@ -51,3 +51,27 @@ def test_triangles_without_travelling_wedges(spark, monkeypatch, nodes, edges, b
     got = triangles.edge_triangles(g)
     assert got.count() == len(ends)
     assert {(r["src"], r["dst"]): r["score"] for r in got.filter("src <> dst").collect()} == {(a, b): len(near[a] & near[b]) for a, b in pairs}
+
+
+@pytest.fixture(scope="module")
+def even(spark, tmp_path_factory):
+    """Every pair of nations trades the same, so that none trades more than most."""
+    n = range(25)
+    return write(
+        spark, tmp_path_factory.mktemp("even"),
+        nation=([(x,) for x in n], "n_nationkey long"), customer=([(x, x) for x in n], "c_custkey long, c_nationkey long"),
+        supplier=([(x, x) for x in n], "s_suppkey long, s_nationkey long"), orders=([(x, x) for x in n], "o_orderkey long, o_custkey long"),
+        lineitem=([(x, y) for x in n for y in n], "l_orderkey long, l_suppkey long"),
+    )
+
+
+def test_closeness_of_what_is_reached(spark, even):
+    g = graph(spark.createDataFrame([(1, 0), (2, 1)], "src long, dst long"), spark.range(4))
+    with pytest.raises(ValueError):
+        distances.closeness(g)
+    assert {r["node"]: r["score"] for r in distances.closeness(g, check=False).collect()} == {0: 1, 1: 1.5, 2: 1, 3: float("inf")}
+    assert {r["score"] for r in catalogue.QUERIES["closeness"](spark, even).collect()} == {float("inf")}  # as in SQL; an error before
+
+
+def test_no_distance_without_edges(spark, even):
+    assert catalogue.QUERIES["source_target_distance"](spark, even).collect() == []  # 0 from null to null before

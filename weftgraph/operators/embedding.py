@@ -211,9 +211,11 @@ def depth_first(g: Graph, source: int) -> DataFrame:
     return kernels.whole(g, kernel, "node long, at long, parent long")
 
 
-def between_two(g: Graph, source: int, target: int, limit: int = 1 << 30) -> float | None:
+def between_two(g: Graph, source: int | None, target: int | None, limit: int = 1 << 30) -> float | None:
     """Hops from source to target by searches from both ends, the smaller frontier first; null if there is
-    no way."""
+    no way or one of the two is null."""
+    if source is None or target is None:
+        return None
     spark = g.spark
     if source == target:
         return 0.0
