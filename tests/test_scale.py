@@ -1,12 +1,13 @@
 """Steps whose tasks, disk and time must not outgrow the input, and queries on tables that leave a graph empty."""
 
+import math
 from collections import Counter
 from itertools import combinations
 
 import pytest
 
 from weftgraph.graph import graph, spread
-from weftgraph.operators import distances, triangles
+from weftgraph.operators import distances, scores, triangles
 from weftgraph.plans import catalogue, derived, extended  # noqa: F401 (registers its queries)
 
 
@@ -75,3 +76,20 @@ def test_closeness_of_what_is_reached(spark, even):
 
 def test_no_distance_without_edges(spark, even):
     assert catalogue.QUERIES["source_target_distance"](spark, even).collect() == []  # 0 from null to null before
+
+
+def test_adamic_adar_is_exact_but_for_one_rounding(spark, monkeypatch):
+    monkeypatch.setattr(triangles, "_colours", lambda m: 3)
+    pairs = {(max(a, b), min(a, b)) for a in range(70) for b in (a * a % 70, (a * 3 + 1) % 70, a // 2, a // 3, (a + 5) % 70, 0, 1) if a != b}
+    near = {x: {b if a == x else a for a, b in pairs if x in (a, b)} for x in range(70)}
+    want = {(a, b): math.fsum(1 / math.log(len(near[c])) for c in near[a] & near[b]) for a, b in pairs}
+    got = scores.adamic_adar_distance(graph(spark.createDataFrame(sorted(pairs), "src long, dst long")))
+    # The sum took its terms as they came before.
+    assert {(r["src"], r["dst"]): r["score"] for r in got.collect()} == {e: 1 / s if s else math.inf for e, s in want.items()}
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    x = 2.3992852614999998  # 2.399285261 by its decimal form
+    got = catalogue.rounded(spark.createDataFrame([(x,), (-x,), (1e300,), (math.inf,), (None,)], "x double").coalesce(1), 9)
+    y = math.floor(x * 1e9 + 0.5) / 1e9
+    assert [r["x"] for r in got.collect()] == [y, -y, 1e300, math.inf, None]
