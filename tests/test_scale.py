@@ -7,7 +7,7 @@ from itertools import combinations
 import pytest
 
 from weftgraph.graph import graph, spread
-from weftgraph.operators import distances, scores, triangles
+from weftgraph.operators import components, distances, kernels, scores, stars, triangles
 from weftgraph.plans import catalogue, derived, extended  # noqa: F401 (registers its queries)
 
 
@@ -93,3 +93,17 @@ def test_rounding_is_that_of_the_sql(spark):
     got = catalogue.rounded(spark.createDataFrame([(x,), (-x,), (1e300,), (math.inf,), (None,)], "x double").coalesce(1), 9)
     y = math.floor(x * 1e9 + 0.5) / 1e9
     assert [r["x"] for r in got.collect()] == [y, -y, 1e300, math.inf, None]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_components_of_a_dense_graph_by_a_part_of_its_edges(spark, monkeypatch, small):
+    # Three dense blocks, of which two hang together by one edge, and nodes without edges.
+    ends = [(x, y) for block in (0, 100, 200) for x in range(block, block + 40) for y in range(block, x)] + [(139, 205), (150, 150)]
+    g = graph(spark.createDataFrame(ends, "src long, dst long"), spark.range(260))
+    monkeypatch.setattr(kernels, "SMALL", 10)
+    monkeypatch.setattr(kernels, "small", lambda graph, most=0: small and graph.edges.count() < 1000)
+    rows = []
+    monkeypatch.setattr(components, "star_components", lambda edges: rows.append(edges.count()) or stars.star_components(edges))
+    found = {r["node"]: r["component"] for r in components.connected(g).collect()}
+    assert found == {x: 0 if x < 40 else 100 if 100 <= x < 140 or 200 <= x < 240 else x for x in range(260)}
+    assert sum(rows) < len(ends) / 2  # all edges took part in the rounds before
