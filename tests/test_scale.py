@@ -107,3 +107,18 @@ def test_components_of_a_dense_graph_by_a_part_of_its_edges(spark, monkeypatch,
     found = {r["node"]: r["component"] for r in components.connected(g).collect()}
     assert found == {x: 0 if x < 40 else 100 if 100 <= x < 140 or 200 <= x < 240 else x for x in range(260)}
     assert sum(rows) < len(ends) / 2  # all edges took part in the rounds before
+
+
+def test_local_degree_in_tasks_that_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(scores, "spread", lambda s, rows: 7)
+    pairs = sorted({(max(a, b), min(a, b)) for a in range(40) for b in (a * a % 40, a // 2, a // 3, 0) if a != b})
+    near = {x: {b if a == x else a for a, b in pairs if x in (a, b)} for x in range(40)}
+    degree = {x: len(near[x]) for x in near}
+
+    def part(u, v):
+        rank = 1 + sum(degree[x] > degree[v] for x in near[u])
+        return 1 - math.log(rank) / math.log(degree[u]) if degree[u] > 1 else 1.0
+
+    got = scores.local_degree(graph(spark.createDataFrame(pairs, "src long, dst long")))
+    assert got.rdd.getNumPartitions() == 14  # merged to about as many as cores before
+    assert {(r["src"], r["dst"]): r["score"] for r in got.collect()} == pytest.approx({(a, b): max(part(a, b), part(b, a)) for a, b in pairs})

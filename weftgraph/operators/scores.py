@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.graph import Graph
+from weftgraph.graph import Graph, spread
+from weftgraph.lineage import cut
 from weftgraph.operators.triangles import common_degrees, edge_triangles
 
 
@@ -95,11 +96,18 @@ def _sides(rows: DataFrame) -> DataFrame:
 def local_degree(g: Graph) -> DataFrame:
     """The greater, over both ends, of 1 - ln(rank) / ln(degree), where neighbours are ranked by
     their degrees, ties alike."""
-    deg = g.degrees().select("id", "degree")
-    both = _sides(g.edges).join(deg.select(F.col("id").alias("u"), F.col("degree").alias("du")), "u").join(deg.select(F.col("id").alias("v"), F.col("degree").alias("dv")), "v")
+    g = g.kept()
+    parts = spread(g.spark, g.edges.count())
+    deg = cut(g.degrees().select("id", "degree"))
+    a, b = deg.select(F.col("id").alias("src"), F.col("degree").alias("ds")), deg.select(F.col("id").alias("dst"), F.col("degree").alias("dd"))
+    # An edge gets both degrees before it is taken from both ends.
+    known = g.edges.select("src", "dst", "w").repartition(parts, "src").join(a, "src").repartition(parts, "dst").join(b, "dst")
+    sides = [F.struct(F.col(u).alias("u"), F.col(du).alias("du"), F.col(dv).alias("dv")) for u, du, dv in (("src", "ds", "dd"), ("dst", "dd", "ds"))]
+    both = known.select("src", "dst", "w", F.explode(F.array(*sides)).alias("e")).select("src", "dst", "w", "e.*").repartition(2 * parts, "u")
     rank = F.rank().over(Window.partitionBy("u").orderBy(F.col("dv").desc()))
     score = F.when(F.col("du") > 1, 1 - F.log("r") / F.log("du")).otherwise(1.0)
-    return both.withColumn("r", rank).groupBy("src", "dst", "w").agg(F.max(score).alias("score"))
+    scored = both.withColumn("r", rank).select("src", "dst", "w", score.alias("score"))
+    return scored.repartition(2 * parts, "src", "dst").groupBy("src", "dst", "w").agg(F.max("score").alias("score"))
 
 
 def local_filter(scored: DataFrame, logarithmic: bool = True) -> DataFrame:
