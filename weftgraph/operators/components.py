@@ -43,7 +43,7 @@ def _settled(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of the ends of edges, in one task where that is allowed."""
     edges = cut(edges.select("src", "dst"))
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
-    part = Graph(ends, edges.withColumn("w", F.lit(1.0)))
+    part = Graph(cut(ends), edges.withColumn("w", F.lit(1.0)))
     return kernels.whole(part, kernels.connected, "node long, component long") if kernels.small(part) else star_components(edges)
 
 
